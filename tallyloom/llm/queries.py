@@ -33,6 +33,18 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_byte_bpe_codec, op5_token_counts, op9_packing)}
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rules import judge
+
+    return judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_rules, op4_byte_bpe_codec, op5_token_counts, op7_simhash, op9_packing)}
 #: None of these can be written in SQL: they need tokenizers, trained models, bit counts or files.
 ORACLE_SQL: dict[str, str] = {}
