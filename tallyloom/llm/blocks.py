@@ -44,11 +44,12 @@ class Texts:
 
 @dataclass
 class Words:
-    """Words of texts without what lies between them; docs: for each text its first word."""
+    """Words of texts without what lies between them; docs: for each text its first word; at: where each begins in the texts' data."""
 
     data: np.ndarray
     offsets: np.ndarray
     docs: np.ndarray
+    at: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
@@ -111,8 +112,8 @@ def words(texts: Texts, lowered: bool = False) -> Words:
     starts = np.flatnonzero(begins[inside])
     offsets = np.empty(len(starts) + 1, np.int64)
     offsets[:-1], offsets[-1] = starts, len(kept)
-    docs = np.searchsorted(np.flatnonzero(begins), texts.offsets)
-    return Words(lower(kept) if lowered else kept, offsets, docs)
+    at = np.flatnonzero(begins)
+    return Words(lower(kept) if lowered else kept, offsets, np.searchsorted(at, texts.offsets), at)
 
 
 @lru_cache(maxsize=1)
