@@ -71,6 +71,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_telephony, op2_toxicity, op3_quality_rules, op4_byte_bpe_codec, op5_token_counts, op6_quality_classifier, op7_simhash, op8_licenses, op9_packing)}
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .scoring import score_documents
+
+    return score_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_telephony, op2_toxicity, op3_quality_rules, op4_byte_bpe_codec, op5_token_counts, op6_quality_classifier, op7_simhash, op8_licenses, op9_packing, op10_lm_scores)}
 #: None of these can be written in SQL: they need tokenizers, trained models, bit counts or files.
 ORACLE_SQL: dict[str, str] = {}

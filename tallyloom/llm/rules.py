@@ -193,9 +193,8 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.expr("NOT base_failed AND rule IS NULL").alias("kept"), "rule", "n_lines", "n_capitals", "n_marks")
 
 
-def keep_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def keep_documents(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of docs that the base test and the rules keep, with their columns."""
-    rules = learn_rules(docs, labels, sample)
     columns = [c for c in docs.columns if c != "doc_id"]
     held = docs.select("doc_id", "text", F.struct(*columns).alias("row__"))
     judged = statistics(held, "row__").where(~base_failed()).where(verdict(rules).isNull())

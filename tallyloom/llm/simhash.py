@@ -284,3 +284,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = named.select("fp", "root").join(lowest, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs of the smallest id of each component, one row for each such id.
+
+    Rows of repeated ids are the only ones whose texts are shuffled. Rows without an id
+    can't stand for a group, nor be named as one's member, and stay.
+    """
+    named = near_duplicates(docs.where("doc_id IS NOT NULL")).select("doc_id", "component_id")
+    chosen = named.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows__")).withColumnRenamed("doc_id", "id__")
+    joined = docs.join(chosen, docs["doc_id"].cast("long") == chosen["id__"])
+    once = joined.where("rows__ = 1").select(*(docs[c] for c in docs.columns))
+    repeated = joined.where("rows__ > 1").select(*(docs[c] for c in docs.columns)).dropDuplicates(["doc_id"])
+    return once.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))

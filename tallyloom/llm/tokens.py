@@ -105,9 +105,9 @@ class Block:
             docs.append(words.docs[1:] + at)
             at += len(words)
         coded = pa.chunked_array(pieces, pa.binary()).dictionary_encode()
-        codes = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks])
-        distinct = coded.chunk(coded.num_chunks - 1).dictionary
-        self.counts = np.bincount(codes, minlength=len(distinct))
+        codes = np.concatenate([np.zeros(0, np.int32), *(c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks)])
+        distinct = coded.chunk(coded.num_chunks - 1).dictionary if coded.num_chunks else pa.array([], pa.binary())
+        self.counts = np.bincount(codes, minlength=len(distinct)).astype(np.int64)
         order = np.argsort(-self.counts, kind="stable")
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)

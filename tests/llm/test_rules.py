@@ -69,7 +69,7 @@ def test_judgement(spark, awkward, empty, sf):
 
 def test_kept_rows_are_whole(spark, awkward, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    kept = rules.keep_documents(awkward, labels)
+    kept = rules.keep_documents(awkward, rules.learn_rules(awkward, labels))
     assert kept.columns == awkward.columns
     want = {str(r.doc_id) for r in rules.judge(awkward, labels).where("kept").collect()}
     assert {str(r.doc_id) for r in kept.collect()} == want and want
