@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts of one block hold about this many bytes; a longer single text is a block by itself.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 _WS = np.zeros(256, bool)
 _WS[[0x20, 9, 10, 11, 12, 13]] = True
