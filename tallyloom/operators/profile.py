@@ -108,7 +108,7 @@ def shannon(counted: DataFrame, base: float = 2.0) -> DataFrame:
 
 def delta_entropy(df: DataFrame, column: str) -> DataFrame:
     """Entropy of the differences of neighbours, over that of as many equally frequent ones, times the share of distinct values."""
-    share = df.agg((F.count_distinct(F.col(column).cast("double")) / F.count(column)).alias("share"))
+    share = df.agg(F.try_divide(F.count_distinct(F.col(column).cast("double")), F.count(column)).alias("share"))
     h = shannon(deltas(df, column))
     return h.crossJoin(F.broadcast(share)).select(F.when(F.col("kinds") <= 1, 0.0).otherwise(F.col("entropy") / F.log2("kinds") * F.col("share")).alias("entropy"))
 

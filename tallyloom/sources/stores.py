@@ -66,8 +66,11 @@ def read_csv(spark: SparkSession, source: Source) -> dict[str, DataFrame]:
     """Types are inferred from the sampled rows alone."""
     out = {}
     for f, p in _listed(source, ".csv"):
-        reader = spark.read.option("header", source.has_header).options(**source.options)
-        schema = reader.option("inferSchema", True).option("samplingRatio", 1.0 if source.num_rows is None else 0.1).csv(p).schema
+        reader = spark.read.option("header", source.has_header).options(**source.options).option("inferSchema", True)
+        first = p
+        if source.num_rows is not None:
+            first = spark.sparkContext.parallelize([r.value for r in spark.read.text(p).limit(source.num_rows + source.has_header).collect()], 1)
+        schema = reader.csv(first).schema
         out[f.removesuffix(".csv")] = spark.read.schema(schema).option("header", source.has_header).options(**source.options).csv(p)
     return out
 
