@@ -25,9 +25,8 @@ UNITS = {"s": 1.0, "ms": 1e3, "us": 1e6, "ns": 1e9}
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
-def counts(df: DataFrame, column: str) -> DataFrame:
-    """sample_size, null_count, is_null, null_ratio (of nulls to values) and cardinality (distinct values to rows) of a column."""
-    c, kind = F.col(column), dict(df.dtypes)[column]
+def count_columns(kind: str, column: str) -> list[Column]:
+    c = F.col(column)
     n, rows = F.count(c), F.count(F.lit(1))
     if kind == "boolean":
         ratio = F.lit(2.0) / rows
@@ -35,7 +34,12 @@ def counts(df: DataFrame, column: str) -> DataFrame:
         ratio = F.lit(1.0)
     else:
         ratio = F.count_distinct(c) / rows
-    return df.agg(n.alias("sample_size"), (rows - n).alias("null_count"), (rows > n).alias("is_null"), F.coalesce(F.try_divide(rows - n, n), F.lit(0.0)).alias("null_ratio"), F.when(rows < 2, F.lit(1.0)).otherwise(ratio).alias("cardinality"))
+    return [n.alias("sample_size"), (rows - n).alias("null_count"), (rows > n).alias("is_null"), F.coalesce(F.try_divide(rows - n, n), F.lit(0.0)).alias("null_ratio"), F.when(rows < 2, F.lit(1.0)).otherwise(ratio).alias("cardinality")]
+
+
+def counts(df: DataFrame, column: str) -> DataFrame:
+    """sample_size, null_count, is_null, null_ratio (of nulls to values) and cardinality (distinct values to rows) of a column."""
+    return df.agg(*count_columns(dict(df.dtypes)[column], column))
 
 
 def moments(df: DataFrame, column: str) -> DataFrame:
@@ -159,24 +163,30 @@ def timestamp_bands(df: DataFrame, column: str) -> DataFrame:
 
 def number_flags(df: DataFrame, column: str) -> DataFrame:
     """all_int_bools: every value rounds to 0 or 1; all_integers: every value is whole, and not all are 0 or 1."""
+    return df.agg(*number_flag_columns(column))
+
+
+def number_flag_columns(column: str) -> list[Column]:
     v = F.col(column).cast("double")
     fract = v - F.when(v < 0, F.ceil(v)).otherwise(F.floor(v))
     bit = F.round(v).isin(0.0, 1.0)
-    return df.agg(X.all_true((fract < 1e-9) & bit).alias("all_int_bools"), (X.all_true(F.abs(fract) < 2.2e-16) & ~X.all_true(bit)).alias("all_integers"))
+    return [X.all_true((fract < 1e-9) & bit).alias("all_int_bools"), (X.all_true(F.abs(fract) < 2.2e-16) & ~X.all_true(bit)).alias("all_integers")]
 
 
 def text_profile(df: DataFrame, column: str) -> DataFrame:
     """Byte lengths, the number of distinct lengths, and what all of the texts look like."""
+    head, *flags = text_columns(column)
+    return df.agg(F.count(column).alias("sample_size"), F.avg(F.octet_length(column)).alias("avg"), F.min(F.octet_length(column)).alias("char_min_length"), head, F.count_distinct(F.octet_length(column)).alias("distinct_count"), *flags)
+
+
+def text_columns(column: str) -> list[Column]:
+    """char_max_length and the flags."""
     c = F.col(column)
     length, number = F.octet_length(c), X.to_number(c)
     fract = number - F.when(number < 0, F.ceil(number)).otherwise(F.floor(number))
     numeric = X.all_true(number.isNotNull() | c.isNull())
-    return df.agg(
-        F.count(c).alias("sample_size"),
-        F.avg(length).alias("avg"),
-        F.min(length).alias("char_min_length"),
+    return [
         F.max(length).alias("char_max_length"),
-        F.count_distinct(length).alias("distinct_count"),
         X.all_true(X.is_array_text(c)).alias("all_array"),
         X.all_true(X.is_json_text(c)).alias("all_json"),
         numeric.alias("all_floats"),
@@ -186,7 +196,7 @@ def text_profile(df: DataFrame, column: str) -> DataFrame:
         X.all_true(X.to_date(c).isNotNull() | c.isNull()).alias("all_date32"),
         X.all_true(X.to_timestamp(c).isNotNull() | c.isNull()).alias("all_timestamp"),
         X.all_true(X.is_time_text(c)).alias("all_time"),
-    )
+    ]
 
 
 def char_classes(df: DataFrame, column: str) -> DataFrame:
@@ -218,8 +228,12 @@ def binary_profile(df: DataFrame, column: str) -> DataFrame:
 
 def date_alignment(df: DataFrame, column: str) -> DataFrame:
     """all_timestamp_date32: every value is a midnight."""
+    return df.agg(midnight_column(dict(df.dtypes)[column], column))
+
+
+def midnight_column(kind: str, column: str) -> Column:
     c = F.col(column)
-    return df.agg(X.all_true(c == F.date_trunc("day", c).cast(dict(df.dtypes)[column])).alias("all_timestamp_date32"))
+    return X.all_true(c == F.date_trunc("day", c).cast(kind)).alias("all_timestamp_date32")
 
 
 def is_monotonic(df: DataFrame, column: str, strict_reference: bool = True) -> bool:

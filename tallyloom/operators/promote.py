@@ -67,6 +67,8 @@ def text_votes(s: dict) -> dict[str, list[bool]]:
 
 def epoch_votes(s: dict, unit: str) -> list[bool]:
     """Of the rules for whole numbers as times: span, regular quantiles, entropy, bands, and plausible years."""
+    if s["entropy"] <= 0.90:
+        return [False]
     scale, votes = P.UNITS[unit], []
     span = (s["max"] - s["min"]) / scale
     if s["min"] < s["max"]:
@@ -79,7 +81,7 @@ def epoch_votes(s: dict, unit: str) -> list[bool]:
         mean = sum(gaps) / len(gaps) if gaps else 0.0
         cv = (sum((g - mean) ** 2 for g in gaps) / len(gaps)) ** 0.5 / mean if mean else 0.0
         votes.append(0.12 < cv < 0.9)
-    votes.append(s["entropy"] > 0.90)
+    votes.append(True)  # the entropy
     bands = s["bands"].get(unit)
     if s["n"] > 1 and bands:
         used = [i for i, k in enumerate(bands) if k]
@@ -123,28 +125,40 @@ def decide(column: str, spark_type: str, stats: dict) -> Promotion:
     return Promotion(column, spark_type, source, 1.0, tally)
 
 
-def statistics_for(df: DataFrame, column: str) -> dict:
-    """What the rules read of a column; skip: no value, or exactly as many as nulls."""
-    kind = kind_of(dict(df.dtypes)[column])
-    first = P.counts(df, column).first()
-    if first.sample_size == 0 or first.sample_size == first.null_count:
-        return {"skip": True}
-    if kind == "string":
-        return P.text_profile(df, column).first().asDict()
-    if kind == "timestamp":
-        return P.date_alignment(df, column).first().asDict()
-    s = P.number_flags(df, column).first().asDict()
-    if kind == "long" and s["all_integers"]:
-        s |= P.moments(df, column).first().asDict() | P.percentiles(df, column).first().asDict()
-        s["quantiles"] = list(P.quantiles(df, column).first())
-        s["entropy"] = P.delta_entropy(df, column).first()[0]
-        s["delta_gcd"] = P.delta_gcd(df, column).first()[0]
-        s["bands"] = {r.unit: list(r)[1:] for r in P.timestamp_bands(df, column).collect()}
-    return s
+def statistics_for(df: DataFrame, columns: list[str]) -> dict[str, dict]:
+    """What the rules read of each column: one aggregate over all of them, then the order statistics of whole numbers.
+
+    skip: no value, or exactly as many as nulls. One vote against a time keeps the net
+    below the bar, so where the differences' entropy already votes against, nothing more is computed.
+    """
+    kinds, wanted = dict(df.dtypes), []
+    for c in columns:
+        kind = kind_of(kinds[c])
+        own = P.text_columns(c) if kind == "string" else [P.midnight_column(kinds[c], c)] if kind == "timestamp" else P.number_flag_columns(c)
+        wanted.append(F.struct(F.count(c).alias("n"), (F.count(F.lit(1)) - F.count(c)).alias("nulls"), *own))
+    if not wanted:
+        return {}
+    row = df.agg(*(w.alias(f"c{k}") for k, w in enumerate(wanted))).first()
+    out = {}
+    for c, r in zip(columns, row):
+        s = r.asDict()
+        if s["n"] == 0 or s["n"] == s["nulls"]:
+            s = {"skip": True}
+        elif kind_of(kinds[c]) == "long" and s["all_integers"]:
+            s["entropy"] = P.delta_entropy(df, c).first()[0]
+            if s["entropy"] > 0.90:
+                s |= P.moments(df, c).first().asDict() | P.percentiles(df, c).first().asDict()
+                s["quantiles"] = list(P.quantiles(df, c).first())
+                s["delta_gcd"] = P.delta_gcd(df, c).first()[0]
+                s["bands"] = {b.unit: list(b)[1:] for b in P.timestamp_bands(df, c).collect()}
+        out[c] = s
+    return out
 
 
 def promote(df: DataFrame, columns: list[str] | None = None) -> list[Promotion]:
-    return [decide(c, t, statistics_for(df, c)) for c, t in df.dtypes if (columns is None or c in columns) and kind_of(t)]
+    chosen = [(c, t) for c, t in df.dtypes if (columns is None or c in columns) and kind_of(t)]
+    stats = statistics_for(df, [c for c, _ in chosen])
+    return [decide(c, t, stats[c]) for c, t in chosen]
 
 
 def cast_column(c: Column, kind: str, target: str) -> Column:

@@ -11,8 +11,6 @@ from ..functions import describe
 from ..operators import align, profile, promote
 from ..sources.stores import Source, SourceError
 
-NUMBERS = {"Int64": "long", "Float64": "double"}
-
 
 @dataclass(frozen=True)
 class Similarity:
@@ -87,13 +85,14 @@ class SchemaAnalyzer:
         try:
             chosen = {p.column: p for p in promote.promote(df)}
             df = promote.apply(df, list(chosen.values()))
-            out = []
+            wanted = []
             for c, kind in df.dtypes:
-                s = profile.counts(df, c).first().asDict()
-                if kind in profile.NUMERIC and s["sample_size"]:
-                    s |= df.agg(F.avg(c).alias("avg"), F.min(c).alias("min"), F.max(c).alias("max")).first().asDict()
-                elif kind == "string" and s["sample_size"]:
-                    s["char_max_length"] = df.agg(F.max(F.octet_length(c))).first()[0]
+                more = [F.avg(c).alias("avg"), F.min(c).alias("min"), F.max(c).alias("max")] if kind in profile.NUMERIC else [F.max(F.octet_length(c)).alias("char_max_length")] if kind == "string" else []
+                wanted.append(F.struct(*profile.count_columns(kind, c), *more))
+            row = df.agg(*(w.alias(f"c{k}") for k, w in enumerate(wanted))).first()
+            out = []
+            for (c, kind), found in zip(df.dtypes, row):
+                s = found.asDict()
                 p = chosen.get(c)
                 target, sure = (p.target, p.confidence) if p else (kind, 1.0)
                 text = describe.paragraph(c, target, sure, s)
