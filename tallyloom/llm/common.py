@@ -34,10 +34,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: lineage ends there, and lost executors don't lose it."""
     path = shared_folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -24,8 +24,10 @@ from .common import id_text, per_block, written
 CLASSES, SINGLES, DIM, HIDDEN = 128, 95, 16, 32
 #: Inputs of a window, and how far the next one begins: a token that isn't in a text's first window has at least CONTEXT - STRIDE ids before it.
 CONTEXT, STRIDE = 32, 26
-#: One training document in SHARE trains the model, all of its windows; trainers work on their parts of a round side by side.
-SHARE, TRAINERS, ROUNDS, BATCH = 32, 4, 4, 48
+#: Every training document trains the model, all of its windows; trainers work on their parts of a round side by side. A trainer has about PART ids, so larger corpora have more trainers.
+TRAINERS, ROUNDS, BATCH, PART = 6, 4, 48, 8 << 20
+#: Texts are kept as ids in pieces of whole texts, of about this many ids.
+PIECE = 1 << 15
 #: A trainer passes over its part again until it has made so many steps in a round, but no more than PASSES times.
 STEPS, PASSES = 150, 8
 FOLDS, HELD = 7, 2
@@ -311,73 +313,76 @@ def encode_counted(path: str, pattern: str):
     return run
 
 
-def sampled(batch: pa.RecordBatch, path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the batch's texts, ragged."""
-    encoding, _ = tokens.rank_encoding(path, pattern)
-    words = _words(blocks.texts_of(batch.column(1)))
-    codes, distinct = words.encode()
-    own = [encoding.encode_ordinary(" " + w.decode("utf-8", "surrogatepass")) for w in distinct.to_pylist()]
-    values, ends = blocks.ragged(np.fromiter((i for x in own for i in x), np.int64), np.append(0, np.cumsum([len(x) for x in own])).astype(np.int64), codes)
-    return values, ends[words.docs]
+def pieces(values: np.ndarray, ends: np.ndarray, which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The chosen texts in pieces: their numbers, ids, and ends. Text i is values[ends[i]:ends[i+1]]."""
+    ids, at = blocks.ragged(values, ends, which)
+    first = 0
+    while first < len(which):
+        stop = max(first + 1, int(np.searchsorted(at, at[first] + PIECE, "right")) - 1)
+        yield which[first:stop], ids[at[first] : at[stop]], at[first : stop + 1] - at[first]
+        first = stop
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and ends of each piece; its last two columns are these."""
+    for ids, ends in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
+        yield tokens.unpack_codes(ids.as_py()).astype(np.int64), np.frombuffer(ends.as_py(), "<i8")
 
 
-def pair_counts(texts: DataFrame, left: np.ndarray, right: np.ndarray, path: str, pattern: str) -> np.ndarray:
-    """How often left[id] comes right before right[next id] in the texts; 0 stands for a text's start and end."""
+def pair_counts(texts: DataFrame, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How often left[id] comes right before right[next id] in the pieces (ids, ends); 0 stands for a text's start and end."""
     shape = (int(left.max()) + 1, int(right.max()) + 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
+        total = np.zeros(shape[0] * shape[1], np.int64)
         for batch in batches:
-            for part in blocks.blocks(batch):
-                values, ends = sampled(part, path, pattern)
+            for values, ends in unpacked(batch):
                 a, at = sequences(values, ends, left)
                 b, _ = sequences(values, ends, right)
                 inner = np.ones(len(a), bool)
                 inner[at[1:] - 1] = False
-                key, n = np.unique(a[inner].astype(np.int64) * shape[1] + b[np.flatnonzero(inner) + 1], return_counts=True)
-                for x, y in zip(key.tolist(), n.tolist()):
-                    total[x] = total.get(x, 0) + y
-        keys = list(total)
+                np.add.at(total, a[inner].astype(np.int64) * shape[1] + b[np.flatnonzero(inner) + 1], 1)
+        keys = np.flatnonzero(total)
         for k in range(0, len(keys), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 10_000], pa.int64()), pa.array([total[x] for x in keys[k : k + 10_000]], pa.int64())], ["pair", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 10_000]), pa.array(total[keys[k : k + 10_000]])], ["pair", "n"])
 
     out = np.zeros(shape[0] * shape[1])
-    for r in texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        out[r.pair] = r.n
+    found = texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out[found["pair"].to_numpy()] = found["n"].to_numpy()
     return out.reshape(shape)
 
 
-def train(docs: DataFrame, counts: np.ndarray, texts: int, path: str, pattern: str) -> tuple[Model, Ids]:
+def train(coded: DataFrame, counts: np.ndarray, texts: int, path: str, pattern: str) -> tuple[Model, Ids]:
     """Classes of ids, and rounds of training side by side: each trainer passes over its part of the round's texts, then the weights are averaged.
 
-    The texts are one in SHARE of the training documents, chosen by id, so training grows
-    with the corpus. Only TRAINERS sets of weights come to the driver in a round, and
-    counts of pairs of classes before.
+    coded: draw, n, ids and ends of pieces of all training texts; each piece is in one trainer's
+    part of one round. The driver reads the trainers' weights one by one, and before that counts of pairs of classes.
     """
-    keyed = docs.where(f"coalesce(crc32(cast(doc_id AS string)), 0) % {FOLDS} <> {HELD}").withColumn("draw", F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(SHARE * ROUNDS * TRAINERS)))
-    chosen = written(keyed.where(F.pmod("draw", F.lit(SHARE)) == 0).select("doc_id", "text", F.floor(F.col("draw") / SHARE).cast("int").alias("part")))
-    few = chosen.select("doc_id", "text")
+    total = coded.agg(F.sum("n")).first()[0] or 0
+    trainers = max(TRAINERS, -(-total // (ROUNDS * PART)))
+    few = coded.select("ids", "ends")
     table = tokens.rank_encoding(path, pattern)[1]
     begins = np.array([t.startswith(b" ") for t in table])
     every, single = np.arange(1, len(counts) + 1), Ids(counts, texts, begins).single()
-    after = pair_counts(few, every, single, path, pattern)
-    before = pair_counts(few, single, every, path, pattern)
+    after = pair_counts(few, every, single)
+    before = pair_counts(few, single, every)
     near = np.zeros((len(counts), 2 * (SINGLES + 2)))
     near[: len(after) - 1, : after.shape[1]] = after[1:]
     near[: before.shape[1] - 1, SINGLES + 2 : SINGLES + 2 + len(before)] = before[:, 1:].T
     ids = Ids(counts, texts, begins, near)
     pairs = np.zeros((CLASSES, CLASSES))
-    found = pair_counts(few, ids.classes, ids.classes, path, pattern)
+    found = pair_counts(few, ids.classes, ids.classes)
     pairs[: found.shape[0], : found.shape[1]] = found
     model = Model.fresh(ids.share).start_from_pairs(pairs, ids.share)
     for turn in range(ROUNDS):
         raw, rate = model.pack(), 0.005 * 0.5**turn
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            mine, moments, n, kept = Model.unpack(raw), {}, 0, []
+            mine, moments, n, kept, part = Model.unpack(raw), {}, 0, [], 0
             for batch in batches:
-                for part in blocks.blocks(batch, size=1 << 20):
-                    seq, at = sequences(*sampled(part, path, pattern), ids.classes)
+                part = batch.column(0)[0].as_py() if batch.num_rows else part
+                for values, ends in unpacked(batch):
+                    seq, at = sequences(values, ends, ids.classes)
                     mine = train_local(mine, seq, at, rate, turn, moments)
                     n += len(seq)
                     if moments.get("step", 0) < STEPS:
@@ -388,13 +393,15 @@ def train(docs: DataFrame, counts: np.ndarray, texts: int, path: str, pattern: s
                     mine = train_local(mine, seq, at, rate, turn + 1000 * again, moments)
                 again += 1
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([mine.pack()]), pa.array([n])], ["weights", "n"])
-
-        parts = chosen.where(F.col("part") % ROUNDS == turn).repartition(TRAINERS, "part").select("doc_id", "text")
-        rows = parts.mapInArrow(learn, "weights binary, n long").collect()
-        if rows:
-            total = sum(r.n for r in rows)
-            model = Model.unpack(sum(np.frombuffer(bytes(r.weights), np.float32) * np.float64(r.n / total) for r in sorted(rows, key=lambda r: (r.n, bytes(r.weights)))).astype(np.float32).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([mine.pack()]), pa.array([n])], ["part", "weights", "n"])
+
+        parts = coded.where(F.col("draw") % ROUNDS == turn).withColumn("part", (F.floor(F.col("draw") / ROUNDS) % trainers).cast("int"))
+        rows = written(parts.repartitionById(trainers, F.col("part")).sortWithinPartitions("draw").select("part", "ids", "ends").mapInArrow(learn, "part int, weights binary, n long"))
+        seen, mean = 0, 0.0
+        for r in rows.orderBy("part").toLocalIterator():
+            seen, mean = seen + r.n, mean + np.frombuffer(bytes(r.weights), np.float32) * np.float64(r.n)
+        if seen:
+            model = Model.unpack((mean / seen).astype(np.float32).tobytes())
     return model, ids
 
 
@@ -427,33 +434,48 @@ def score_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     counts = np.zeros(len(tokens.rank_encoding(path, pattern)[1]))
     for r in answers.where("block IS NULL").select(F.explode(F.arrays_zip("id", "id_n")).alias("z")).groupBy("z.id").agg(F.sum("z.id_n").alias("n")).collect():
         counts[r.id] = r.n
-    model, ids = train(source, counts, texts, path, pattern)
-    weights = model.pack()
     unit = np.log10(n + v + 1)
 
     def put_together(texts_table: pa.Table, rows: pa.Table) -> pa.Table:
-        model = Model.unpack(weights)
         values, offsets, found = tokens.by_block(rows)
         c = np.frombuffer(b"".join(rows["counts"].to_pylist()), "<i8")[found["where"]]
         log_c, known = np.log10(c + 1.0), c > 0
-        share = blocks.row_sums(ids.log_share[values], offsets)
-        out = []
+        out: list[tuple] = []
         for row in texts_table.to_pylist():
             codes = tokens.unpack_codes(row["codes"])
             if len(codes) and int(codes.max()) >= len(c):
                 raise ValueError("a block's words are incomplete")
             at = np.append(0, np.cumsum(np.frombuffer(row["sizes"], "<i4"))).astype(np.int64)
             flat, ends = blocks.ragged(values, offsets, codes)
-            seq, bounds = sequences(flat, ends[at], ids.classes)
             size = np.diff(at) + 1
-            score = (sequence_log_p(model, seq, bounds) + blocks.row_sums(share[codes], at)) / LOG10
             base = blocks.row_sums(log_c[codes], at) + np.log10(texts + 1.0) - size * unit
             sure = blocks.row_sums(known[codes], at).astype(np.int64) + (texts > 0)
-            doc_ids = pa.array(row["doc_ids"], pa.int64())
-            out.append(pa.table([doc_ids, pa.array(held_out(doc_ids)), pa.array(size), pa.array(sure), pa.array(np.full(len(size), n)), pa.array(base), pa.array(score)], names))
-        return pa.concat_tables(out)
+            doc_ids = row["doc_ids"]
+            held = held_out(pa.array(doc_ids, pa.int64()))
+            for which in (False, True):
+                for own, piece, piece_ends in pieces(flat, ends[at], np.flatnonzero(held == which)):
+                    packed = tokens.pack_codes(piece)
+                    out.append(([doc_ids[i] for i in own], which, size[own], sure[own], base[own], zlib.crc32(packed), len(piece) + len(own), packed, piece_ends.astype("<i8").tobytes()))
+        return pa.table([pa.array(column, f.type) for column, f in zip(zip(*out), shape)], shape)
+
+    long = pa.list_(pa.int64())
+    shape = pa.schema([("doc_ids", long), ("held_out", pa.bool_()), ("sizes", long), ("sure", long), ("base", pa.list_(pa.float64())), ("draw", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("ends", pa.binary())])
+    texts_coded = source.mapInArrow(per_block(text_rows, tokens.DICTIONARY_BYTES), "block long, doc_ids array<long>, sizes binary, codes binary")
+    per = answers.where("block IS NOT NULL").select("block", "slots", "sizes", "ids", "counts")
+    # small row groups, so that a file can be read by several tasks
+    coded = written(texts_coded.groupBy("block").cogroup(per.groupBy("block")).applyInArrow(put_together, "doc_ids array<long>, held_out boolean, sizes array<long>, sure array<long>, base array<double>, draw long, n long, ids binary, ends binary"), **{"parquet.block.size": str(4 << 20)})
+    model, ids = train(coded.where("NOT held_out").select("draw", "n", "ids", "ends"), counts, texts, path, pattern)
+    weights = model.pack()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model.unpack(weights)
+        for batch in batches:
+            for k, (values, ends) in enumerate(unpacked(batch)):
+                seq, bounds = sequences(values, ends, ids.classes)
+                scores = (sequence_log_p(model, seq, bounds) + blocks.row_sums(ids.log_share[values], ends)) / LOG10
+                doc_ids, held, size, sure, base = (batch.column(c)[k].as_py() for c in range(5))
+                m = len(doc_ids)
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(np.full(m, held)), pa.array(size, pa.int64()), pa.array(sure, pa.int64()), pa.array(np.full(m, n)), pa.array(base, pa.float64()), pa.array(scores)], names)
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    coded = source.mapInArrow(per_block(text_rows, tokens.DICTIONARY_BYTES), "block long, doc_ids array<long>, sizes binary, codes binary")
-    per = answers.where("block IS NOT NULL").select("block", "slots", "sizes", "ids", "counts")
-    return coded.groupBy("block").cogroup(per.groupBy("block")).applyInArrow(put_together, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return coded.select("doc_ids", "held_out", "sizes", "sure", "base", "ids", "ends").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

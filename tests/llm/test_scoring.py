@@ -100,3 +100,18 @@ def test_training_helps_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     held = scoring.score_documents(docs, *ARGS).where("held_out").selectExpr("sum(score) / sum(n_tokens) AS a").first().a
     assert held > -4.7  # classes by their shares alone give -5.5
+
+
+def test_every_training_document_trains(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held = scoring.score_documents(docs, *ARGS).where("held_out").selectExpr("sum(score) / sum(n_tokens) AS a").first().a
+    assert held > -4.42  # a model of one document in 32 gives -4.49
+
+
+def test_pieces_hold_every_chosen_text_once(monkeypatch):
+    monkeypatch.setattr(scoring, "PIECE", 10)
+    sizes = [0, 3, 25, 4, 4, 4, 0, 9]
+    ends = np.append(0, np.cumsum(sizes))
+    which = np.array([0, 2, 3, 4, 5, 6])
+    got = [(int(i), ids[a:b].tolist()) for own, ids, at in scoring.pieces(np.arange(ends[-1]), ends, which) for i, a, b in zip(own, at, at[1:])]
+    assert got == [(int(i), list(range(ends[i], ends[i + 1]))) for i in which]
