@@ -2,9 +2,9 @@
 
 Words are told apart and counted by the same shuffle of distinct words as in `tokens`: each word's
 training count and subword ids come back to the blocks of texts that hold it. The model
-predicts classes of subword ids (the most frequent ids are classes by themselves, the others share
-some by their neighbours) and then the id within its class by its share of the class in the
-training texts, which is counted over all of them. A text is a start, its ids, and an end;
+reads subword ids; it predicts classes of them (the most frequent ids are classes by themselves, the others share
+some by their neighbours) and then the id within its class, both from the context. Ids that no
+training text holds are one symbol a class, and share its probability equally. A text is a start, its ids, and an end;
 its score is the log10 probability of the ids and the end.
 """
 
@@ -23,7 +23,7 @@ from .common import id_text, per_block, written
 
 CLASSES, SINGLES, DIM, HIDDEN = 128, 95, 16, 32
 #: Inputs of a window, and how far the next one begins: a token that isn't in a text's first window has at least CONTEXT - STRIDE ids before it.
-CONTEXT, STRIDE = 32, 26
+CONTEXT, STRIDE = 64, 32
 #: Every training document trains the model, all of its windows; trainers work on their parts of a round side by side. A trainer has about PART ids, so larger corpora have more trainers.
 TRAINERS, ROUNDS, BATCH, PART = 6, 4, 48, 8 << 20
 #: Texts are kept as ids in pieces of whole texts, of about this many ids.
@@ -56,6 +56,18 @@ class Model(dict):
         model["b"] = np.log(np.maximum(share, 1e-9)).astype(np.float32)
         return model
 
+    def with_symbols(self, share: np.ndarray) -> "Model":
+        """Adds what tells the symbols of shared classes apart: to the class's input D, and V and c for the choice within the class. They start from the log shares."""
+        self["D"], self["V"] = (np.zeros((len(share), DIM), np.float32) for _ in range(2))
+        self["c"] = share.astype(np.float32)
+        return self
+
+    def inputs(self, cuts: np.ndarray | None) -> np.ndarray:
+        """The vector of each class; with cuts, of each symbol: the single classes, then those of shared classes in order."""
+        if cuts is None:
+            return self["E"]
+        return np.concatenate([self["E"][: SINGLES + 1], np.repeat(self["E"][SINGLES + 1 :], np.diff(cuts), axis=0) + self["D"]])
+
     def start_from_pairs(self, pairs: np.ndarray, share: np.ndarray, doubt: float = 20.0) -> "Model":
         """Sets the way from an input straight to the prediction to the best approximation of rank DIM of log p(next | class) - log p(next)."""
         p = np.maximum(share, 1e-9)
@@ -74,20 +86,30 @@ class Model(dict):
             n = int(np.prod(s))
             out[k] = flat[at : at + n].reshape(s).copy()
             at += n
+        rest = (len(flat) - at) // (2 * DIM + 1)
+        if rest:
+            out["D"], out["V"] = (flat[at + k * rest * DIM : at + (k + 1) * rest * DIM].reshape(rest, DIM).copy() for k in range(2))
+            out["c"] = flat[at + 2 * rest * DIM :].copy()
         return out
 
     def pack(self) -> bytes:
-        return b"".join(np.ascontiguousarray(self[k], np.float32).tobytes() for k in SHAPES)
-
-    def body(self, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        n = x.shape[0]
-        h0 = self["E"][x] + self["P"]
-        z = (h0.reshape(-1, DIM) @ self["QKV"]).reshape(n, CONTEXT, 3 * DIM)
-        q, k, v = z[:, :, :DIM], z[:, :, DIM : 2 * DIM], z[:, :, 2 * DIM :]
+        return b"".join(np.ascontiguousarray(self[k], np.float32).tobytes() for k in [*SHAPES, *("D", "V", "c")] if k in self)
+
+    def body(self, x: np.ndarray, keep: dict | None = None, table: np.ndarray | None = None, start: int = 0) -> np.ndarray:
+        """What the predictions are made from, for each place of the windows from start on. table: the inputs' vectors."""
+        n, own = x.shape[0], CONTEXT - start
+        h0 = (self["E"] if table is None else table)[x] + self["P"]
+        if start:
+            z = (h0.reshape(-1, DIM) @ self["QKV"][:, DIM:]).reshape(n, CONTEXT, 2 * DIM)
+            k, v, h0 = z[:, :, :DIM], z[:, :, DIM:], h0[:, start:]
+            q = (h0.reshape(-1, DIM) @ self["QKV"][:, :DIM]).reshape(n, own, DIM)
+        else:
+            z = (h0.reshape(-1, DIM) @ self["QKV"]).reshape(n, CONTEXT, 3 * DIM)
+            q, k, v = z[:, :, :DIM], z[:, :, DIM : 2 * DIM], z[:, :, 2 * DIM :]
         a = q @ k.transpose(0, 2, 1)
         a *= SCALE
         np.minimum(a, TOP, out=a)
-        a += MASK
+        a += MASK[start:]
         np.exp(a, out=a)
         a /= a.sum(axis=-1, keepdims=True) + np.float32(1e-30)
         o = (a @ v).reshape(-1, DIM)
@@ -100,6 +122,34 @@ class Model(dict):
             keep |= {"h0": h0, "q": q, "k": k, "v": v, "a": a, "o": o, "h1": h1, "m": m, "h2": h2}
         return h2
 
+    def within(self, h: np.ndarray, y: np.ndarray, cuts: np.ndarray, back: dict | None = None, scale: float = 1.0) -> np.ndarray:
+        """Natural log of the probability of symbol y within its class at each row; 0 for a single class. back: takes the gradients of V and c and adds that of h."""
+        out = np.zeros(len(y), h.dtype)
+        row = y - (SINGLES + 1)
+        places = np.argsort(row, kind="stable")
+        edges = np.searchsorted(row[places], cuts)
+        for a, b, first, last in zip(edges[:-1], edges[1:], cuts[:-1], cuts[1:]):
+            if a == b:
+                continue
+            at = places[a:b]
+            own, mine = h[at], row[at] - first
+            z = own @ self["V"][first:last].T
+            z += self["c"][first:last]
+            z -= z.max(axis=1, keepdims=True)
+            rows = np.arange(b - a)
+            picked = z[rows, mine]
+            np.exp(z, out=z)
+            total = z.sum(axis=1, keepdims=True)
+            out[at] = picked - np.log(total[:, 0])
+            if back is not None:
+                z /= total
+                z[rows, mine] -= 1
+                z *= np.float32(scale)
+                back["V"][first:last] = z.T @ own
+                back["c"][first:last] = z.sum(axis=0)
+                back["h"][at] += z @ self["V"][first:last]
+        return out
+
     def log_p(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of the probability of class y at each row."""
         z = h @ self["U"]
@@ -109,21 +159,30 @@ class Model(dict):
         np.exp(z, out=z)
         return own - np.log(z.sum(axis=1) + np.float32(1e-30))
 
-    def gradient(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over the real targets, and its gradient."""
+    def gradient(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, cuts: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss over the real targets, and its gradient. x and y are classes; with cuts, symbols."""
         s: dict = {}
-        h2 = self.body(x, s)
+        table = self.inputs(cuts)
+        h2 = self.body(x, s, table)
         n = max(1, int(real.sum()))
-        z = h2 @ self["U"] + self["b"]
+        z = h2 @ self["U"]
+        z += self["b"]
         np.minimum(z, TOP, out=z)
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        rows, target, flat = np.arange(len(z)), y.ravel(), real.ravel()
-        loss = -float(np.log(np.maximum(z[rows, target], 1e-30))[flat].sum()) / n
-        z[rows, target] -= 1
-        z *= (flat / np.float32(n)).astype(np.float32)[:, None]
+        rows, target, flat = np.arange(len(z)), classes_of(y.ravel(), cuts), real.ravel()
+        size = z.sum(axis=1)
+        loss = -float(np.log(np.maximum(z[rows, target] / size, 1e-30))[flat].sum()) / n
+        weight = (flat / (size * n)).astype(z.dtype)
+        z *= weight[:, None]
+        z[rows, target] -= (flat / n).astype(z.dtype)
         g = {"U": h2.T @ z, "b": z.sum(axis=0)}
         dh2 = z @ self["U"].T
+        if cuts is not None:
+            at = np.flatnonzero(flat & (target > SINGLES))
+            g |= {"V": np.zeros_like(self["V"]), "c": np.zeros_like(self["c"])}
+            more = g | {"h": np.zeros((len(at), DIM), dh2.dtype)}
+            loss -= float(self.within(h2[at], y.ravel()[at], cuts, more, 1 / n).sum()) / n
+            dh2[at] += more["h"]
         g["W2"] = s["m"].T @ dh2
         dm = (dh2 @ self["W2"].T) * (s["m"] > 0)
         g["W1"], g["b1"] = s["h1"].T @ dm, dm.sum(axis=0)
@@ -131,17 +190,32 @@ class Model(dict):
         g["O"] = s["o"].T @ dh1
         do = (dh1 @ self["O"].T).reshape(s["h0"].shape)
         da = do @ s["v"].transpose(0, 2, 1)
-        ds = s["a"] * (da - (da * s["a"]).sum(axis=-1, keepdims=True)) * SCALE
+        ds = da
+        ds -= np.einsum("nij,nij->ni", da, s["a"])[:, :, None]
+        ds *= s["a"]
+        ds *= SCALE
         dz = np.concatenate([ds @ s["k"], ds.transpose(0, 2, 1) @ s["q"], s["a"].transpose(0, 2, 1) @ do], axis=-1).reshape(-1, 3 * DIM)
         h0 = s["h0"].reshape(-1, DIM)
         g["QKV"] = h0.T @ dz
         dh0 = dh1 + dz @ self["QKV"].T
         g["P"] = dh0.reshape(s["h0"].shape).sum(axis=0)
-        g["E"] = np.zeros_like(self["E"])
-        np.add.at(g["E"], x.ravel(), dh0)
+        order = np.argsort(x.ravel(), kind="stable")
+        used, first = np.unique(x.ravel()[order], return_index=True)
+        given = np.zeros_like(table)
+        given[used] = np.add.reduceat(dh0[order], first, axis=0)
+        g["E"] = given
+        if cuts is not None:
+            g["D"] = given[SINGLES + 1 :]
+            sums = np.append(np.zeros((1, DIM)), np.cumsum(g["D"], axis=0, dtype=np.float64), axis=0)
+            g["E"] = np.concatenate([given[: SINGLES + 1], np.diff(sums[cuts], axis=0).astype(given.dtype)])
         return loss, g
 
 
+def classes_of(y: np.ndarray, cuts: np.ndarray | None) -> np.ndarray:
+    """The classes of symbols; cuts: where those of each shared class begin and end."""
+    return y if cuts is None else np.where(y <= SINGLES, y, SINGLES + np.searchsorted(cuts, y - (SINGLES + 1), "right"))
+
+
 def windows(seq: np.ndarray, ends: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, targets, which targets a window scores, and its text. Text i is seq[ends[i]:ends[i+1]],
     its start and end included; every other place of it is the target of exactly one window."""
@@ -157,32 +231,41 @@ def windows(seq: np.ndarray, ends: np.ndarray, stride: int = STRIDE) -> tuple[np
     return seq[at[:, :-1]], seq[at[:, 1:]], real, text
 
 
-def sequence_log_p(model: Model, seq: np.ndarray, ends: np.ndarray, chunk: int = 128) -> np.ndarray:
-    """Natural log probability of each text's classes after its start."""
+def sequence_log_p(model: Model, seq: np.ndarray, ends: np.ndarray, chunk: int = 128, cuts: np.ndarray | None = None) -> np.ndarray:
+    """Natural log probability of each text's classes (with cuts: symbols) after its start."""
     out = np.zeros(len(ends) - 1)
+    table = model.inputs(cuts)
     # windows of bounded numbers of texts, so that a long block's index arrays stay small
     first = 0
     while first < len(out):
         stop = max(first + 1, int(np.searchsorted(ends, ends[first] + (1 << 19), "right")) - 1)
         x, y, real, text = windows(seq, ends[first : stop + 1])
-        for k in range(0, len(x), chunk):
-            r = real[k : k + chunk]
-            h = model.body(x[k : k + chunk])
-            lp = model.log_p(h[r.ravel()], y[k : k + chunk][r])
-            per = np.append(0, np.cumsum(r.sum(axis=1)))
-            out[first : first + stop - first] += np.bincount(text[k : k + chunk], blocks.row_sums(lp, per), minlength=stop - first)
+        later = np.append(False, text[1:] == text[:-1])
+        # of a later window, the first places are only looked back at
+        for which, start in ((np.flatnonzero(~later), 0), (np.flatnonzero(later), CONTEXT - STRIDE)):
+            for k in range(0, len(which), chunk):
+                at = which[k : k + chunk]
+                r = real[at, start:]
+                h = model.body(x[at], None, table, start)[r.ravel()]
+                target = y[at, start:][r]
+                lp = model.log_p(h, classes_of(target, cuts))
+                if cuts is not None:
+                    shared = np.flatnonzero(target > SINGLES)
+                    lp[shared] += model.within(h[shared], target[shared], cuts)
+                per = np.append(0, np.cumsum(r.sum(axis=1)))
+                out[first:stop] += np.bincount(text[at], blocks.row_sums(lp, per), minlength=stop - first)
         first = stop
     return out
 
 
-def train_local(model: Model, seq: np.ndarray, ends: np.ndarray, rate: float, seed: int, moments: dict | None = None) -> Model:
+def train_local(model: Model, seq: np.ndarray, ends: np.ndarray, rate: float, seed: int, moments: dict | None = None, cuts: np.ndarray | None = None) -> Model:
     """One pass over the windows in shuffled batches (Adam)."""
     x, y, real, _ = windows(seq, ends, CONTEXT)
     order = np.random.default_rng(seed).permutation(len(x))
     m = moments if moments is not None else {}
     for k in range(0, len(order), BATCH):
         at = order[k : k + BATCH]
-        _, g = model.gradient(x[at], y[at], real[at])
+        _, g = model.gradient(x[at], y[at], real[at], cuts)
         m["step"] = m.get("step", 0) + 1
         for name, d in g.items():
             a, b = m.setdefault(name, [np.zeros_like(d), np.zeros_like(d)])
@@ -218,6 +301,22 @@ class Ids:
         self.log_share = np.log((counts + 1.0) / total[self.classes])
         total[0] = texts + 1.0
         self.share = total / total.sum()
+        # symbols: single classes as they are; then the ids of each shared class that occur, and one for those that don't
+        seen = np.flatnonzero((self.classes > SINGLES) & (counts > 0))
+        seen = seen[np.argsort(self.classes[seen], kind="stable")]
+        of = np.append(self.classes[seen], np.arange(SINGLES + 1, CLASSES))
+        order = np.argsort(of, kind="stable")
+        place = np.empty(len(of), np.int64)
+        place[order] = np.arange(len(of))
+        self.cuts = np.searchsorted(of[order], np.arange(SINGLES + 1, CLASSES + 1))
+        unseen = (self.classes > SINGLES) & (counts == 0)
+        many = np.bincount(self.classes[unseen], minlength=CLASSES)
+        self.symbols = self.classes.astype(np.int64)
+        self.symbols[seen] = SINGLES + 1 + place[: len(seen)]
+        self.symbols[unseen] = SINGLES + 1 + place[len(seen) :][self.classes[unseen] - SINGLES - 1]
+        self.log_part = np.where(unseen, -np.log(np.maximum(many[self.classes], 1)), 0.0)
+        weight = np.append(counts[seen] + 1.0, np.maximum(many[SINGLES + 1 :], 1e-9))
+        self.symbol_share = np.log(weight / np.maximum(total[of], 1e-9))[order]
 
     def single(self) -> np.ndarray:
         """Of each id its class if that is its own, else one number for all others."""
@@ -373,7 +472,7 @@ def train(coded: DataFrame, counts: np.ndarray, texts: int, path: str, pattern:
     pairs = np.zeros((CLASSES, CLASSES))
     found = pair_counts(few, ids.classes, ids.classes)
     pairs[: found.shape[0], : found.shape[1]] = found
-    model = Model.fresh(ids.share).start_from_pairs(pairs, ids.share)
+    model = Model.fresh(ids.share).start_from_pairs(pairs, ids.share).with_symbols(ids.symbol_share)
     for turn in range(ROUNDS):
         raw, rate = model.pack(), 0.005 * 0.5**turn
 
@@ -382,15 +481,15 @@ def train(coded: DataFrame, counts: np.ndarray, texts: int, path: str, pattern:
             for batch in batches:
                 part = batch.column(0)[0].as_py() if batch.num_rows else part
                 for values, ends in unpacked(batch):
-                    seq, at = sequences(values, ends, ids.classes)
-                    mine = train_local(mine, seq, at, rate, turn, moments)
+                    seq, at = sequences(values, ends, ids.symbols)
+                    mine = train_local(mine, seq, at, rate, turn, moments, ids.cuts)
                     n += len(seq)
                     if moments.get("step", 0) < STEPS:
                         kept.append((seq, at))
             again = 1
             while kept and moments.get("step", 0) < STEPS and again < PASSES:
                 for seq, at in kept:
-                    mine = train_local(mine, seq, at, rate, turn + 1000 * again, moments)
+                    mine = train_local(mine, seq, at, rate, turn + 1000 * again, moments, ids.cuts)
                 again += 1
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([mine.pack()]), pa.array([n])], ["part", "weights", "n"])
@@ -471,8 +570,8 @@ def score_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         model = Model.unpack(weights)
         for batch in batches:
             for k, (values, ends) in enumerate(unpacked(batch)):
-                seq, bounds = sequences(values, ends, ids.classes)
-                scores = (sequence_log_p(model, seq, bounds) + blocks.row_sums(ids.log_share[values], ends)) / LOG10
+                seq, bounds = sequences(values, ends, ids.symbols)
+                scores = (sequence_log_p(model, seq, bounds, cuts=ids.cuts) + blocks.row_sums(ids.log_part[values], ends)) / LOG10
                 doc_ids, held, size, sure, base = (batch.column(c)[k].as_py() for c in range(5))
                 m = len(doc_ids)
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(np.full(m, held)), pa.array(size, pa.int64()), pa.array(sure, pa.int64()), pa.array(np.full(m, n)), pa.array(base, pa.float64()), pa.array(scores)], names)

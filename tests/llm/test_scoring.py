@@ -115,3 +115,63 @@ def test_pieces_hold_every_chosen_text_once(monkeypatch):
     which = np.array([0, 2, 3, 4, 5, 6])
     got = [(int(i), ids[a:b].tolist()) for own, ids, at in scoring.pieces(np.arange(ends[-1]), ends, which) for i, a, b in zip(own, at, at[1:])]
     assert got == [(int(i), list(range(ends[i], ends[i + 1]))) for i in which]
+
+
+def symbols(seed=4, n=500):
+    rng = np.random.default_rng(seed)
+    counts = rng.integers(0, 3, n).astype(float) * rng.integers(1, 50, n)
+    ids = scoring.Ids(counts, 10, np.arange(n) % 2 == 0, rng.random((n, 6)))
+    m = model(seed).with_symbols(ids.symbol_share)
+    for k in ("D", "V"):
+        m[k] = rng.normal(size=m[k].shape) * 0.3
+    m["c"] = m["c"].astype(np.float64)
+    return ids, m
+
+
+def test_gradient_of_symbols():
+    ids, m = symbols()
+    rng = np.random.default_rng(1)
+    x, y = ids.symbols[rng.integers(0, 500, (3, scoring.CONTEXT))], ids.symbols[rng.integers(0, 500, (3, scoring.CONTEXT))]
+    real = rng.random(x.shape) < 0.8
+    _, g = m.gradient(x, y, real, ids.cuts)
+    row = int(x[x > scoring.SINGLES][0]) - scoring.SINGLES - 1
+    for name, d in g.items():
+        for k in range(4):
+            at = tuple(rng.integers(0, n) for n in d.shape)
+            at = (row, k) if name == "D" else (int(scoring.classes_of(x, ids.cuts)[0, k]), k) if name == "E" else at
+            old = m[name][at]
+            m[name][at] = old + 1e-4
+            high = m.gradient(x, y, real, ids.cuts)[0]
+            m[name][at] = old - 1e-4
+            low = m.gradient(x, y, real, ids.cuts)[0]
+            m[name][at] = old
+            assert d[at] == pytest.approx((high - low) / 2e-4, abs=2e-5), name
+
+
+def test_ids_of_one_class_are_told_apart():
+    ids, m = symbols()
+    m = scoring.Model.unpack(scoring.Model(m).pack())
+    one = lambda *t: float(scoring.sequence_log_p(m, ids.symbols[np.array(t)] * (np.array(t) >= 0), np.array([0, len(t)]), cuts=ids.cuts)[0] + ids.log_part[np.array(t)[1:-1]].sum())
+    start = int(ids.singles[0])
+    every = [one(start, i, start) for i in range(500)]
+    shared = next(np.flatnonzero((ids.classes == c) & (ids.symbols != 0)) for c in range(scoring.SINGLES + 1, scoring.CLASSES) if (ids.classes == c).sum() > 3)
+    a, b = [int(i) for i in shared if i in np.flatnonzero(ids.log_part == 0)][:2]
+    assert one(start, a, start, b, start) != pytest.approx(one(start, b, start, a, start), abs=1e-6)
+    # the probabilities of all ids after a start
+    h = m.body(np.full((1, scoring.CONTEXT), int(ids.symbols[start])), None, m.inputs(ids.cuts))[:1].repeat(500, axis=0)
+    y = ids.symbols
+    p = np.exp(m.log_p(h, scoring.classes_of(y, ids.cuts)) + m.within(h, y, ids.cuts) + ids.log_part)
+    rest = np.exp(m.log_p(h[:1], np.array([0])))[0]
+    gone = [c for c in range(1, scoring.CLASSES) if not (ids.classes == c).any()]
+    rest += sum(np.exp(m.log_p(h[:1], np.array([c])))[0] for c in gone)
+    assert len(every) == 500 and p.sum() + rest == pytest.approx(1, abs=1e-3)
+
+
+def test_windows_overlap_by_half():
+    assert scoring.CONTEXT - scoring.STRIDE >= scoring.CONTEXT / 2
+
+
+def test_score_beats_word_counts_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    r = scoring.score_documents(docs, *ARGS).where("held_out").selectExpr("sum(score) AS a", "sum(base_score) AS b").first()
+    assert r.a > r.b
