@@ -26,7 +26,7 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-NC": ["Licensed under CC BY-NC #", "This work is licensed under a Creative Commons Attribution-NonCommercial # International License", "Available under CC BY-NC-SA #"],
     "CC-BY": ["Licensed under CC BY #", "This work is licensed under a Creative Commons Attribution # International License", "Text is available under the Creative Commons Attribution-ShareAlike License #", "Licensed under CC BY-SA #"],
     "CC0": ["Released under CC0 # Universal", "To the extent possible under law, the author has waived all copyright and related rights to this work", "Dedicated to the public domain under CC0 #"],
-    "Proprietary": ["Copyright # All rights reserved", "All rights reserved. No part of this publication may be reproduced without prior written permission", "Proprietary and confidential; unauthorized copying is strictly prohibited"],
+    "Proprietary": ["All rights reserved", "Copyright # All rights reserved", "All rights reserved. No part of this publication may be reproduced without prior written permission", "Proprietary and confidential; unauthorized copying is strictly prohibited"],
 }
 FAMILIES = [UNKNOWN, *TEMPLATES]
 #: At most so many documents give paragraphs of the unknown class: those with the smallest hashes of their ids.

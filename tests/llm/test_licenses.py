@@ -36,3 +36,12 @@ def test_notices_and_lookalikes(spark, empty):
     model = licenses.fit(docs)
     assert {r.doc_id: r.families for r in licenses.scan(docs, model).collect()} == {i: f for i, _, f in rows}
     assert licenses.scan(empty, licenses.fit(empty)).collect() == []
+
+
+def test_all_rights_reserved_alone(spark):
+    texts = ["Intro.\nAll rights reserved.\nmore", "all rights reserved", "Copyright 2020 All rights reserved.", "The rights of all were reserved for later.", "Reserved rights all"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.scan(docs, licenses.fit(docs)).collect()}
+    assert [rows[i].families for i in range(5)] == ["Proprietary"] * 3 + ["", ""]
+    (span,) = rows[0].spans
+    assert texts[0][span.begin : span.end] == "All rights reserved."
