@@ -9,9 +9,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField
 
 from . import blocks
-from .common import id_text, per_block, written
+from .common import appended, columns_of, fresh, id_text, written
 
 #: Buckets of hashed n-grams (pre-tokens and pairs of neighbours).
 BUCKETS = 1 << 16
@@ -111,40 +112,48 @@ def bar(good: np.ndarray, bad: np.ndarray) -> float:
     return float(bounds[np.argmin(lost)])
 
 
-def resample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7, keep_share: float | None = None) -> DataFrame:
-    """doc_id, n_ngrams, log_weight, sample_key and kept of every document.
-
-    log_weight sums, over all n-grams of the whole text, log target minus log raw
-    probability; sample_key adds Gumbel noise, and the documents of the k largest
-    keys are kept: a sample without replacement in proportion to the weights. k is
-    keep_share of the documents; by default the share of all documents whose weight clears
-    the bar that best parts the labelled sample. Equal keys at the bar are all kept. A null or empty
-    text has weight 0. Without good labels nothing is known of the target: every weight is 0 and all are kept.
-    """
+def weighed(docs: DataFrame, labels: DataFrame, names: list[str], sample: int, seed: int, keep_share: float | None) -> DataFrame:
+    """The rows of docs, whole, with the columns of these names for n_ngrams, log_weight, sample_key and kept."""
     quality = sample_labels(labels, sample)
     target = np.array(sorted(i for i, q in quality.items() if q), np.int64)
     ratios = log_ratios(docs, target) if len(target) else np.zeros(BUCKETS)
 
-    def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bucket, ends = buckets_of(blocks.texts_of(batch.column(1)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends)), pa.array(np.round(blocks.row_sums(ratios[bucket], ends), 6))], ["doc_id", "n_ngrams", "log_weight"])
+    def score(pair: pa.RecordBatch) -> list[pa.Array]:
+        bucket, ends = buckets_of(blocks.texts_of(pair.column(1)))
+        return [pa.array(np.diff(ends)), pa.array(np.round(blocks.row_sums(ratios[bucket], ends), 6))]
 
-    scored = written(id_text(docs).mapInArrow(per_block(score), "doc_id long, n_ngrams long, log_weight double").withColumn("sample_key", F.col("log_weight") + gumbel(seed)))
-    n = scored.count()
+    count, weight, key, kept = names
+    scored = written(appended(docs, score, [StructField(count, LongType()), StructField(weight, DoubleType())]).withColumn(key, F.col(weight) + gumbel(seed)))
+    plain = scored.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(weight).alias("w"), F.col(key).alias("key"))
+    n = plain.count()
     threshold = float("-inf")
     if n and len(target):
         if keep_share is None:
-            known = scored.where(F.col("doc_id").isin(list(quality))).groupBy("doc_id").agg(F.min("log_weight").alias("w")).collect()
+            known = plain.where(F.col("doc_id").isin(list(quality))).groupBy("doc_id").agg(F.min("w").alias("w")).collect()
             at = bar(np.array([r.w for r in known if quality[r.doc_id]]), np.array([r.w for r in known if not quality[r.doc_id]]))
-            k = scored.where(F.col("log_weight") >= at).count() if np.isfinite(at) else n
+            k = plain.where(F.col("w") >= at).count() if np.isfinite(at) else n
         else:
             k = round(keep_share * n)
-        threshold = kth_largest(scored, "sample_key", k) if k else float("inf")
-    return scored.withColumn("kept", F.col("sample_key") >= F.lit(threshold))
+        threshold = kth_largest(plain, "key", k) if k else float("inf")
+    return scored.withColumn(kept, F.col(key) >= F.lit(threshold))
+
+
+def resample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7, keep_share: float | None = None) -> DataFrame:
+    """doc_id, n_ngrams, log_weight, sample_key and kept of every document.
+
+    log_weight sums, over all n-grams of the whole text, log target minus log raw
+    probability; sample_key adds Gumbel noise, and the documents of the k largest
+    keys are kept: a sample without replacement in proportion to the weights. k is
+    keep_share of the documents; by default the share of all documents whose weight clears
+    the bar that best parts the labelled sample. Equal keys at the bar are all kept. A null or empty
+    text has weight 0. Each row is weighed by its own text; rows of one id, and all without an id, share their noise.
+    Without good labels nothing is known of the target: every weight is 0 and all are kept.
+    """
+    names = ["n_ngrams", "log_weight", "sample_key", "kept"]
+    return weighed(id_text(docs), labels, names, sample, seed, keep_share).select("doc_id", *names)
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
-    """The rows of docs whose documents are kept. Rows of one id share its lowest key."""
-    judged = resample(docs, labels, sample, seed)
-    gone = judged.groupBy("doc_id").agg(F.bool_and("kept").alias("all_kept")).where("NOT all_kept").select(F.col("doc_id").alias("gone__"))
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone__"]), "left_anti")
+    """The rows of docs, with all of their columns, that `resample` keeps: each by its own text, also where ids repeat or are null."""
+    names = fresh(docs.columns, "n_ngrams", "log_weight", "sample_key", "kept")
+    return weighed(docs, labels, names, sample, seed, None).where(F.col(names[3])).select(*columns_of(docs))

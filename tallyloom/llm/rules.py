@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import columns_of
+
 #: At most so many labelled documents teach the rules: those with the smallest hashes of their ids.
 SAMPLE = 10_000
 WORD = r"[^\\x20\\x09-\\x0D]"
@@ -194,8 +196,11 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
 
 def keep_documents(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The rows of docs that the base test and the rules keep, with their columns."""
-    columns = [c for c in docs.columns if c != "doc_id"]
-    held = docs.select("doc_id", "text", F.struct(*columns).alias("row__"))
-    judged = statistics(held, "row__").where(~base_failed()).where(verdict(rules).isNull())
-    return judged.select("doc_id", "row__.*").select(*docs.columns)
+    """The rows of docs that the base test and the rules keep, with all of their columns.
+
+    Each row is judged by its own text, whatever its id. Null, empty and short texts fail the base test and go;
+    without rules the base test decides alone.
+    """
+    row = F.struct(*columns_of(docs)).alias("row")
+    judged = statistics(docs.select("doc_id", "text", row), "row").where(~base_failed()).where(verdict(rules).isNull())
+    return judged.select("row.*")

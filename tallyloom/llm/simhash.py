@@ -19,9 +19,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
 from . import blocks
-from .common import id_text, per_block, written
+from .common import appended, columns_of, discard, fresh, id_text, per_block, written
 
 SHINGLE = 4
 SEED = 42
@@ -261,40 +262,49 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         # a node's smaller neighbours, and the node itself, go to the smallest of them
         small = large.join(lowest, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = written(small)
+        after = written(small)
+        discard(edges)
+        edges = after
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges
         before = state
 
 
+def groups(prints: DataFrame) -> DataFrame:
+    """fp, root (the fingerprint that names its component) and component_id of each distinct fingerprint. prints: doc_id, fp."""
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    stars = components(links(distinct.select("fp")))
+    nodes = stars.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionAll(stars.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
+    named = distinct.join(nodes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return named.select("fp", "root").join(lowest, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id of every document.
 
     component_id is the smallest doc_id among all documents that links reach, itself
     included. Texts without words have fingerprint zero, and link like any other. Null ids
     stay; they never become a component_id unless a component has no other. Equal
-    fingerprints are one node however many rows hold them.
+    fingerprints are one node however many rows hold them. An empty table has an empty result; other columns are not read.
     """
     prints = written(fingerprints(docs))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    stars = components(links(distinct.select("fp")))
-    nodes = stars.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionAll(stars.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
-    named = distinct.join(nodes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = named.select("fp", "root").join(lowest, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(groups(prints).drop("root"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs of the smallest id of each component, one row for each such id.
+    """One row of docs, whole, for each component of fingerprints.
 
-    Rows of repeated ids are the only ones whose texts are shuffled. Rows without an id
-    can't stand for a group, nor be named as one's member, and stay.
+    It is that of the smallest id; rows without an id come after all others. Among rows of one id
+    the smallest fingerprint, then the smallest hash of the text decides, so rows of one id with unlike texts
+    belong to their own components, and none stands for another. Null and empty texts are one component.
     """
-    named = near_duplicates(docs.where("doc_id IS NOT NULL")).select("doc_id", "component_id")
-    chosen = named.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows__")).withColumnRenamed("doc_id", "id__")
-    joined = docs.join(chosen, docs["doc_id"].cast("long") == chosen["id__"])
-    once = joined.where("rows__ = 1").select(*(docs[c] for c in docs.columns))
-    repeated = joined.where("rows__ > 1").select(*(docs[c] for c in docs.columns)).dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
+    fp, row, digest = fresh(docs.columns, "fp", "row", "digest")
+    known = appended(docs, lambda b: [pa.array(fingerprints_of(blocks.texts_of(b.column(1))).view(np.int64))], [StructField(fp, LongType())])
+    table = written(known.withColumn(row, F.monotonically_increasing_id()))
+    keyed = table.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col(fp), F.xxhash64("text").alias(digest), F.col(row).alias("row")).alias("key"))
+    # the first row of each fingerprint is found before the join, so a fingerprint that many rows hold is one row there
+    first = keyed.groupBy("fp").agg(F.min("key").alias("key"))
+    chosen = first.join(groups(keyed), "fp").groupBy("root").agg(F.min("key").alias("key")).select(F.col("key.row").alias(row))
+    return table.join(chosen, row, "left_semi").select(*columns_of(docs))
