@@ -7,20 +7,14 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BOOLEAN_WORDS = ["true", "True", "TRUE", "false", "False", "FALSE", "t", "T", "f", "F", "yes", "Yes", "YES", "no", "No", "NO", "y", "Y", "n", "N", "on"]
-#: What a date or timestamp text must look like, and the pattern that then parses it.
-DATES = {r"^\d{4}-\d{1,2}-\d{1,2}$": "yyyy-M-d", r"^\d{1,2}-\d{1,2}-\d{4}$": "d-M-yyyy", r"^\d{2}/\d{1,2}/\d{1,2}$": "yy/M/d", r"^\d{8}$": "yyyyMMdd", r"^\d{1,2}[A-Za-z]{3}\d{4}$": "dMMMyyyy", r"^\d{1,2}/[A-Za-z]{3}/\d{4}$": "d/MMM/yyyy"}
-TIMESTAMPS = {
-    r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}(\.\d{1,9})?$": "yyyy-M-d'T'H:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]",
-    r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}(\.\d{1,9})?$": "yyyy-M-d H:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]",
-    r"^\d{2}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$": "yy/M/d H:mm:ss",
-    r"^\d{14}$": "yyyyMMddHHmmss",
-    r"^\d{1,2}/[A-Za-z]{3}/\d{4}:\d{1,2}:\d{2}:\d{2}$": "d/MMM/yyyy:H:mm:ss",
-}
-TIME = r"^([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,9})?)?( ?[AaPp][Mm])?$"
+from . import formats
+
+#: Beginnings of these words, from the given length on, and numbers stand for truth values; letters are lower case and nothing is trimmed.
+TRUE_WORDS = [w[:k] for w, least in (("true", 1), ("yes", 1), ("on", 2)) for k in range(least, len(w) + 1)] + ["1", "1.0"]
+FALSE_WORDS = [w[:k] for w, least in (("false", 1), ("no", 1), ("off", 2)) for k in range(least, len(w) + 1)] + ["0", "0.0"]
+BOOLEAN_WORDS = TRUE_WORDS + FALSE_WORDS
 FLOAT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 UUID = "^[0-9a-fA-F]{32}$"
-_OFFSET = r"(Z|[+-]\d{2}:?\d{2})$"
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -53,60 +47,40 @@ def similarity_vector(pairs: Column, n: Column | int) -> Column:
     return F.when(size <= 0, F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: F.coalesce(at(i), F.lit(0.0))))
 
 
-def is_array_text(c: Column) -> Column:
-    return F.trim(c).startswith("[") & F.trim(c).endswith("]")
-
-
-def is_json_text(c: Column) -> Column:
-    return F.trim(c).startswith("{") & F.trim(c).endswith("}")
+def _digits_sql(x: str) -> str:
+    return f"trim(regexp_replace(replace({x}, 'urn:uuid:'), '[-{{}}]', ''))"
 
 
-def uuid_digits(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, "^urn:uuid:", ""), r"[-{}]", "")
-
-
-def is_uuid(c: Column) -> Column:
-    return uuid_digits(c).rlike(UUID)
+def uuid_sql(x: str) -> str:
+    return f"{_digits_sql(x)} RLIKE '{UUID}'"
 
 
 def to_uuid(c: Column) -> Column:
     """The 16 bytes of a UUID text, null if it isn't one."""
-    return F.when(is_uuid(c), F.unhex(uuid_digits(c)))
+    return formats.bound(c, f"if({uuid_sql('x')}, unhex({_digits_sql('x')}), NULL)")
 
 
-def to_number(c: Column) -> Column:
-    """A double, without the blanks and suffixes that a plain cast accepts."""
-    return F.when(c.rlike(FLOAT), c.cast("double"))
+def number_sql(x: str) -> str:
+    return f"nullif(nullif(if({x} RLIKE r'{FLOAT}', cast({x} AS double), NULL), double('Infinity')), double('-Infinity'))"
 
 
-def _by_format(c: Column, formats: dict[str, str]) -> Column:
-    return F.coalesce(*(F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(pattern))) for shape, pattern in formats.items()))
-
-
-def to_date(c: Column) -> Column:
-    plain = F.regexp_replace(c, "^[A-Za-z]{3}, ", "")
-    return _by_format(plain, DATES).cast("date")
-
-
-def to_timestamp(c: Column) -> Column:
-    """Local wall-clock time; an offset at the end is dropped."""
-    return _by_format(F.regexp_replace(c, _OFFSET, ""), TIMESTAMPS)
+def to_number(c: Column) -> Column:
+    """A finite double, without the blanks and suffixes that a plain cast accepts."""
+    return formats.bound(c, number_sql("x"))
 
 
-def is_time_text(c: Column) -> Column:
-    return c.rlike(TIME)
+to_date, to_timestamp, to_time = formats.to_date, formats.to_timestamp, formats.to_time
 
 
-CLASSES = ("[0-9]", r"\\p{IsAlphabetic}", "[ \\t\\n\\f\\r]", r"[!-/:-@\\[-`{-~]")
+def replace_float_bool(c: Column) -> Column:
+    """1.0 and 0.0 as 1 and 0; other texts as they are."""
+    return F.regexp_replace(F.regexp_replace(c, r"^1\.0$", "1"), r"^0\.0$", "0")
 
 
-def class_counts(c: Column) -> list[Column]:
+def class_sql(x: str) -> list[str]:
     """Characters of a text that are digits, letters, ASCII blanks, ASCII marks, and others."""
-    digit = F.regexp_count(c, F.lit("[0-9]"))
-    letter = F.regexp_count(c, F.lit(r"\p{IsAlphabetic}"))
-    blank = F.regexp_count(c, F.lit(r"[ \t\n\f\r]"))
-    mark = F.regexp_count(c, F.lit(r"[!-/:-@\[-`{-~]"))
-    return [digit, letter, blank, mark, F.char_length(c) - digit - letter - blank - mark]
+    own = [f"regexp_count({x}, r'{k}')" for k in ("[0-9]", r"\p{IsAlphabetic}", r"[ \t\n\f\r]", r"[!-/:-@\[-`{-~]")]
+    return [*own, f"(char_length({x}) - {' - '.join(own)})"]
 
 
 def all_true(c: Column) -> Column:

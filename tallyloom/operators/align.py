@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import Iterator
 
 import numpy as np
@@ -10,47 +11,46 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from .fieldstats import FieldStats, group_of
 
-#: Query vectors that go to all tasks at once; more are taken in blocks of this size.
+#: Vectors of a block; blocks of queries meet blocks of items.
 BLOCK = 4096
 SIZE_RATIO, COVERAGE = (0.7, 1.3), 0.95
 
 
+def _blocks(df: DataFrame, id_column: str, vector: str, name: str) -> tuple[DataFrame, int]:
+    """name (number of the block) and its ids and vectors, a row a block; and how many blocks there are."""
+    known = df.where(F.col(vector).isNotNull()).select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    n = max(1, -(-known.count() // BLOCK))
+    return known.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name)).agg(F.collect_list("id").alias(f"{name}_ids"), F.flatten(F.collect_list("vector")).alias(f"{name}_flat")), n
+
+
 def nearest(queries: DataFrame, items: DataFrame, k: int, id_column: str = "id", vector: str = "vector") -> DataFrame:
     """query_id, item_id, similarity (cosine) and rank of each query's k nearest items; equals go by id. An item may be its own query.
 
-    Queries are taken in blocks against all items; each task keeps its k best for each query, so what is shuffled is k rows a query and task.
+    Both sides are cut into blocks of bounded size. Each block of items is sent to every block of queries, where one matrix
+    product compares them and keeps the k best of each query, so what goes on is k rows a query and block of items.
+    Neither side comes to the driver. A null vector is left out.
     """
-    rows = iter(queries.select(id_column, vector).where(F.col(vector).isNotNull()).toLocalIterator())
-    out, spark = None, queries.sparkSession
-    schema = "query_id long, item_id long, similarity double"
-    while True:
-        block = [r for _, r in zip(range(BLOCK), rows)]
-        if not block:
-            break
-        ids, matrix = np.array([r[0] for r in block]), np.array([r[1] for r in block], float)
-        length = np.linalg.norm(matrix, axis=1)
-
-        def best(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix, length=length) -> Iterator[pa.RecordBatch]:
-            top_s, top_i = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                own = np.array(b.column(1).to_pylist(), float)
-                s = matrix @ own.T / np.maximum(length[:, None] * np.linalg.norm(own, axis=1)[None, :], 1e-6)
-                top_s = np.concatenate([top_s, np.round(s, 12)], axis=1)
-                top_i = np.concatenate([top_i, np.tile(b.column(0).to_numpy(), (len(ids), 1))], axis=1)
-                order = np.lexsort((top_i, -top_s), axis=1)[:, :k]
-                top_s, top_i = np.take_along_axis(top_s, order, 1), np.take_along_axis(top_i, order, 1)
-            if top_s.size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, top_s.shape[1])), pa.array(top_i.ravel()), pa.array(top_s.ravel())], ["query_id", "item_id", "similarity"])
-
-        found = items.select(F.col(id_column).cast("long"), vector).where(F.col(vector).isNotNull()).mapInArrow(best, schema)
-        out = found if out is None else out.unionAll(found)
-    if out is None:
-        return spark.createDataFrame([], schema + ", rank int")
+    q, n = _blocks(queries, id_column, vector, "q")
+    i, _ = _blocks(items, id_column, vector, "i")
+    pairs = i.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(q, "q").select("q_ids", "q_flat", "i_ids", "i_flat")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                q_ids, q_flat, i_ids, i_flat = (b.column(c)[row].values for c in range(4))
+                m, own = (x.to_numpy().reshape(len(ids), -1) for x, ids in ((q_flat, q_ids), (i_flat, i_ids)))
+                s = np.round(m @ own.T / np.maximum(np.linalg.norm(m, axis=1)[:, None] * np.linalg.norm(own, axis=1)[None, :], 1e-6), 12)
+                names = i_ids.to_numpy(zero_copy_only=False)
+                by_name = np.argsort(names, kind="stable")
+                order = by_name[np.argsort(-s[:, by_name], axis=1, kind="stable")[:, :k]]
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(np.repeat(np.arange(len(q_ids)), order.shape[1]))), i_ids.take(pa.array(order.ravel())), pa.array(np.take_along_axis(s, order, 1).ravel())], ["query_id", "item_id", "similarity"])
+
+    kind = {**dict(items.dtypes)}[id_column]
+    found = pairs.mapInArrow(best, f"query_id {dict(queries.dtypes)[id_column]}, item_id {kind}, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def mutual_best(pairs: DataFrame, threshold: float = 0.55) -> DataFrame:
@@ -81,27 +81,35 @@ def table_scores(aligned: DataFrame, sizes: DataFrame) -> DataFrame:
     return out.withColumn("score", score)
 
 
+def richness(s: FieldStats) -> float:
+    """How much a column's values spread, from 0.001 to 1."""
+    group = group_of(s.source)
+    if group == "number" and not s.source.startswith("decimal"):
+        low, high = (s.min_val, s.max_val) if s.min_val is not None and s.max_val is not None else (0.001, 0.002)
+    elif group == "text":
+        low, high = (s.char_min_length, s.char_max_length) if s.char_min_length is not None and s.char_max_length is not None else (0.001, 0.002)
+    elif group in ("stamp", "date"):
+        return min(1.0, max(0.001, 1.0 if s.histogram_entropy is None else s.histogram_entropy))
+    else:
+        return 1.0
+    return min(1.0, max(0.001, (high - low) / (high - low + 1.0)))
+
+
+def field_weight(s: FieldStats) -> float:
+    """A field's part in its table's vector, 0.001 at least. The cardinality is a ratio of at most 1, whose logarithm is taken as 0.001: so all weights come out equal but for rounding, as in the reference."""
+    if not s.sample_size:
+        return 0.001
+    validity = 1.0 - s.null_count / s.sample_size
+    spread = max(float(s.distinct_count) if s.cardinality is None else s.cardinality, 1.0)
+    info = max(s.entropy if not math.isnan(s.entropy) else 0.001, 0.001) * max(math.log(spread), 0.001)
+    variety = 0.001 if s.distinct_count <= 1 else min(1.0, max(0.001, s.distinct_count / s.sample_size))
+    w = validity * info * richness(s) * variety
+    return max(w, 0.001) if math.isfinite(w) else 0.001
+
+
 def table_vectors(fields: DataFrame) -> DataFrame:
-    """table_id and the normalised mean of its fields' vectors. fields: table_id, vector."""
-    mean = fields.select("table_id", F.posexplode("vector").alias("pos", "x")).groupBy("table_id", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    """table_id and the normalised mean of its fields' vectors, weighted if there is a column weight. fields: table_id, vector."""
+    weight = F.col("weight") if "weight" in fields.columns else F.lit(1.0)
+    mean = fields.select("table_id", weight.alias("w"), F.posexplode("vector").alias("pos", "x")).groupBy("table_id", "pos").agg((F.sum(F.col("w") * F.col("x").cast("double")) / F.sum("w")).alias("x"))
     whole = mean.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v"))
     return whole.select("table_id", X.normalised(F.col("v")).alias("vector"))
-
-
-def clusters(edges: list[tuple[str, str]], nodes: list[str]) -> list[list[str]]:
-    """Connected tables; tables without edges are alone. There are as many nodes as tables, so this runs on the driver."""
-    parent = {n: n for n in nodes}
-
-    def find(x: str) -> str:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        a, b = find(a), find(b)
-        parent[max(a, b)] = min(a, b)
-    groups: dict[str, list[str]] = {}
-    for n in sorted(nodes):
-        groups.setdefault(find(n), []).append(n)
-    return [groups[k] for k in sorted(groups)]

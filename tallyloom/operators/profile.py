@@ -1,8 +1,7 @@
 """Column profiles as aggregates.
 
-Statistics of sorted values are computed from the counts of distinct values, cut into ranges by approximate
-quantiles, so that no window runs over the whole column in one task: within a range a
-window orders the values, and one row a range carries the number and the last value before it.
+Statistics of one column, each by itself; `fieldstats` computes all statistics of all columns together. Those of sorted
+values are computed from the counts of distinct values, cut into ranges (`fieldstats.ranked`), so that no window runs over the whole column in one task.
 """
 
 from __future__ import annotations
@@ -12,12 +11,11 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 
-RANGES = 64
 BINS = 6
 #: Upper ends of the magnitude bands of possible epoch values, and what a unit's second is.
 BANDS = [(0.0, 99_999.0), (1e5, 999_999.0), (1e6, 9_999_999.0), (1e7, 99_999_999.0), (1e8, 999_999_999.0), (1e9, 9_999_936_000.0)]
@@ -42,34 +40,52 @@ def counts(df: DataFrame, column: str) -> DataFrame:
     return df.agg(*count_columns(dict(df.dtypes)[column], column))
 
 
+def value_of(kind: str, c: Column) -> Column:
+    """A number, date or time as a double: days for dates, microseconds of local time for timestamps."""
+    if kind == "date":
+        return F.unix_date(c).cast("double")
+    if kind.startswith("timestamp"):
+        second = F.extract(F.lit("SECOND"), c).cast("decimal(8,6)")
+        return (F.unix_date(c.cast("date")).cast("long") * 86_400_000_000 + F.hour(c).cast("long") * 3_600_000_000 + F.minute(c).cast("long") * 60_000_000 + (second * 1_000_000).cast("long")).cast("double")
+    return c.cast("double")
+
+
+def value(df: DataFrame, column: str) -> Column:
+    return value_of(dict(df.dtypes)[column], F.col(column))
+
+
+def moment_sql(x: str) -> dict[str, str]:
+    """avg, min, max, and skewness and kurtosis corrected for the sample size over population deviations."""
+    n = f"cast(count({x}) AS double)"
+    return {
+        "avg": f"avg({x})",
+        "min": f"min({x})",
+        "max": f"max({x})",
+        "skewness": f"if(var_pop({x}) = 0, 0D, try_divide(skewness({x}) * {n} * {n}, ({n} - 1) * ({n} - 2)))",
+        "kurtosis": f"if(var_pop({x}) = 0, 0D, try_divide({n} * {n} * ({n} + 1) * (kurtosis({x}) + 3), ({n} - 1) * ({n} - 2) * ({n} - 3)) - try_divide(3 * ({n} - 1) * ({n} - 1), ({n} - 2) * ({n} - 3)))",
+    }
+
+
+def _aggregated(df: DataFrame, v: Column, wanted: dict[str, str]) -> DataFrame:
+    """These aggregates, as SQL over x, of a column."""
+    return df.select(v.alias("x")).agg(*(F.expr(sql).alias(name) for name, sql in wanted.items()))
+
+
 def moments(df: DataFrame, column: str) -> DataFrame:
-    """n, avg, min, max, distinct_count, and skewness and kurtosis corrected for the sample size over population deviations."""
-    v = F.col(column).cast("double")
-    n = F.count(v).cast("double")
-    return df.agg(
-        F.count(v).alias("n"),
-        F.avg(v).alias("avg"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.count_distinct(v).alias("distinct_count"),
-        F.when(F.var_pop(v) == 0, 0.0).otherwise(F.try_divide(F.skewness(v) * n * n, (n - 1) * (n - 2))).alias("skewness"),
-        F.when(F.var_pop(v) == 0, 0.0).otherwise(F.try_divide(n * n * (n + 1) * (F.kurtosis(v) + 3), (n - 1) * (n - 2) * (n - 3)) - F.try_divide(3 * (n - 1) * (n - 1), (n - 2) * (n - 3))).alias("kurtosis"),
-    )
+    """n, distinct_count and the moments of a column."""
+    return _aggregated(df, value(df, column), {"n": "count(x)", "distinct_count": "count(DISTINCT x)"} | moment_sql("x"))
 
 
 def sorted_values(df: DataFrame, column: str) -> DataFrame:
-    """v, n (how often), before (the next smaller value) and upto (values up to and with this one) of a column's distinct values."""
-    v = F.col(column).cast("double")
-    values = df.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count("*").alias("n"))
-    bounds = df.agg(F.percentile_approx(v, [i / RANGES for i in range(1, RANGES)])).first()[0] or []
-    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < F.col("v"))) if bounds else F.lit(0)
-    values = values.withColumn("part", part)
-    heads = values.groupBy("part").agg(F.max("v").alias("top"), F.sum("n").alias("held"))
-    over = Window.orderBy("part")  # one row a range
-    heads = heads.select("part", F.lag("top").over(over).alias("earlier"), (F.sum("held").over(over) - F.col("held")).alias("skipped"))
-    inside = Window.partitionBy("part").orderBy("v")
-    ranked = values.select("part", "v", "n", F.lag("v").over(inside).alias("last"), F.sum("n").over(inside).alias("run"))
-    return ranked.join(F.broadcast(heads), "part").select("v", "n", F.coalesce("last", "earlier").alias("before"), (F.col("skipped") + F.col("run")).alias("upto"))
+    """v, n (how often), before (the next smaller value) and upto (values up to and with this one) of a column's distinct values.
+
+    The ranges are cut at quantiles of the distinct values, however often each occurs, and there are more of them the more distinct values there are.
+    """
+    from .fieldstats import ranked
+
+    v = value(df, column)
+    counted = df.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count("*").alias("n")).select(F.lit(0).alias("k"), "v", "n")
+    return ranked(counted, {0: counted.count()}).drop("k")
 
 
 def rank_value(k: Column) -> Column:
@@ -112,14 +128,14 @@ def shannon(counted: DataFrame, base: float = 2.0) -> DataFrame:
 
 def delta_entropy(df: DataFrame, column: str) -> DataFrame:
     """Entropy of the differences of neighbours, over that of as many equally frequent ones, times the share of distinct values."""
-    share = df.agg(F.try_divide(F.count_distinct(F.col(column).cast("double")), F.count(column)).alias("share"))
+    share = df.agg(F.try_divide(F.count_distinct(value(df, column)), F.count(column)).alias("share"))
     h = shannon(deltas(df, column))
     return h.crossJoin(F.broadcast(share)).select(F.when(F.col("kinds") <= 1, 0.0).otherwise(F.col("entropy") / F.log2("kinds") * F.col("share")).alias("entropy"))
 
 
 def histogram_entropy(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     """Natural entropy of equal bins over the range of the values; 0 for a single value."""
-    v = F.col(column).cast("double")
+    v = value(df, column)
     low, high = df.agg(F.min(v), F.max(v)).first()
     if low is None or low == high:
         return df.sparkSession.range(1).select(F.lit(0.0).alias("histogram_entropy"))
@@ -129,7 +145,7 @@ def histogram_entropy(df: DataFrame, column: str, bins: int = BINS) -> DataFrame
 
 def autocorrelation(df: DataFrame, column: str) -> DataFrame:
     """Lag-1 autocorrelation of the values in order; null without variance."""
-    mean = df.agg(F.avg(F.col(column).cast("double"))).first()[0]
+    mean = df.agg(F.avg(value(df, column))).first()[0]
     d, e = F.col("v") - F.lit(mean), F.col("before") - F.lit(mean)
     whole = F.sum(F.col("n") * d * d)
     return sorted_values(df, column).agg(F.when(whole != 0, (F.sum((F.col("n") - 1) * d * d) + F.coalesce(F.sum(d * e), F.lit(0.0))) / whole).alias("autocorrelation"))
@@ -148,62 +164,64 @@ def delta_gcd(df: DataFrame, column: str) -> DataFrame:
     return whole.mapInArrow(_gcd, "g long").where("g > 0").repartition(1).mapInArrow(_gcd, "g long").select(F.nullif("g", F.lit(0)).alias("delta_gcd"))
 
 
-def timestamp_bands(df: DataFrame, column: str) -> DataFrame:
-    """unit and six counts: how many magnitudes in that unit lie in each band; a unit with a value outside of all is left out."""
-    size = F.abs(F.col(column).cast("double"))
-    rows = []
+def band_sql(x: str) -> dict[str, str]:
+    """Of each unit: six counts of magnitudes, and whether each value lies in a band."""
+    out = {}
     for unit, scale in UNITS.items():
-        within = [(size / scale).between(a, b) for a, b in BANDS]
-        rows.append(df.where(F.col(column).isNotNull()).agg(F.lit(unit).alias("unit"), *(F.count_if(w).alias(f"band{i}") for i, w in enumerate(within)), X.all_true(X.any_of(within)).alias("all_inside")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionAll(r)
-    return out.where("all_inside").drop("all_inside")
+        within = [f"abs({x}) / {scale}D BETWEEN {a}D AND {b}D" for a, b in BANDS]
+        out |= {f"{unit}{i}": f"count_if({w})" for i, w in enumerate(within)}
+        out[f"{unit}_inside"] = f"coalesce(bool_and({' OR '.join(within)}), false)"
+    return out
 
 
-def number_flags(df: DataFrame, column: str) -> DataFrame:
+def timestamp_bands(df: DataFrame, column: str) -> DataFrame:
+    """unit and six counts: how many magnitudes in that unit lie in each band; a unit with a value outside of all is left out. One pass for all units."""
+    found = _aggregated(df, value(df, column), band_sql("x"))
+    rows = [f"named_struct('unit', '{u}', {', '.join(f"'band{i}', {u}{i}" for i in range(len(BANDS)))}, 'inside', {u}_inside)" for u in UNITS]
+    return found.select(F.explode(F.expr(f"array({', '.join(rows)})")).alias("s")).select("s.*").where("inside").drop("inside")
+
+
+def number_flag_sql(x: str) -> dict[str, str]:
     """all_int_bools: every value rounds to 0 or 1; all_integers: every value is whole, and not all are 0 or 1."""
-    return df.agg(*number_flag_columns(column))
+    fract, bit = f"({x} - if({x} < 0, ceil({x}), floor({x})))", f"round({x}) IN (0D, 1D)"
+    return {"all_int_bools": f"coalesce(bool_and({fract} < 1e-9D AND {bit}), false)", "all_integers": f"coalesce(bool_and(abs({fract}) < 2.2e-16D), false) AND NOT coalesce(bool_and({bit}), false)"}
 
 
-def number_flag_columns(column: str) -> list[Column]:
-    v = F.col(column).cast("double")
-    fract = v - F.when(v < 0, F.ceil(v)).otherwise(F.floor(v))
-    bit = F.round(v).isin(0.0, 1.0)
-    return [X.all_true((fract < 1e-9) & bit).alias("all_int_bools"), (X.all_true(F.abs(fract) < 2.2e-16) & ~X.all_true(bit)).alias("all_integers")]
+def number_flags(df: DataFrame, column: str) -> DataFrame:
+    return _aggregated(df, value(df, column), number_flag_sql("x"))
+
+
+def text_sql(x: str) -> dict[str, str]:
+    """Byte lengths, and what all of the texts look like."""
+    every = lambda sql: f"coalesce(bool_and({sql}), false)"
+    number = X.number_sql(x)
+    fract = f"({number} - if({number} < 0, ceil({number}), floor({number})))"
+    numeric = every(f"{number} IS NOT NULL OR {x} IS NULL")
+    return {
+        "avg": f"avg(octet_length({x}))",
+        "char_min_length": f"min(octet_length({x}))",
+        "char_max_length": f"max(octet_length({x}))",
+        "all_array": every(f"trim({x}) LIKE '[%]'"),
+        "all_json": every(f"trim({x}) LIKE '{{%}}'"),
+        "all_floats": numeric,
+        "all_integers": f"({numeric} AND {every(f'abs({fract}) < 2.2e-16D')} AND NOT {every(f'round({number}) IN (0D, 1D)')})",
+        "all_uuid": every(X.uuid_sql(x)),
+        "all_utf8_bools": every(f"{x} IN ({', '.join(map(repr, X.BOOLEAN_WORDS))})"),
+        "all_date32": every(f"{X.formats.as_date(x)} IS NOT NULL OR {x} IS NULL"),
+        "all_timestamp": every(f"{X.formats.as_timestamp(x)} IS NOT NULL OR {x} IS NULL"),
+        "all_time": every(f"{X.formats.as_time(x)} IS NOT NULL OR {x} IS NULL"),
+    }
 
 
 def text_profile(df: DataFrame, column: str) -> DataFrame:
     """Byte lengths, the number of distinct lengths, and what all of the texts look like."""
-    head, *flags = text_columns(column)
-    return df.agg(F.count(column).alias("sample_size"), F.avg(F.octet_length(column)).alias("avg"), F.min(F.octet_length(column)).alias("char_min_length"), head, F.count_distinct(F.octet_length(column)).alias("distinct_count"), *flags)
-
-
-def text_columns(column: str) -> list[Column]:
-    """char_max_length and the flags."""
-    c = F.col(column)
-    length, number = F.octet_length(c), X.to_number(c)
-    fract = number - F.when(number < 0, F.ceil(number)).otherwise(F.floor(number))
-    numeric = X.all_true(number.isNotNull() | c.isNull())
-    return [
-        F.max(length).alias("char_max_length"),
-        X.all_true(X.is_array_text(c)).alias("all_array"),
-        X.all_true(X.is_json_text(c)).alias("all_json"),
-        numeric.alias("all_floats"),
-        (numeric & X.all_true(F.abs(fract) < 2.2e-16) & ~X.all_true(F.round(number).isin(0.0, 1.0))).alias("all_integers"),
-        X.all_true(X.is_uuid(c)).alias("all_uuid"),
-        X.all_true(c.isin(X.BOOLEAN_WORDS)).alias("all_utf8_bools"),
-        X.all_true(X.to_date(c).isNotNull() | c.isNull()).alias("all_date32"),
-        X.all_true(X.to_timestamp(c).isNotNull() | c.isNull()).alias("all_timestamp"),
-        X.all_true(X.is_time_text(c)).alias("all_time"),
-    ]
+    return _aggregated(df, F.col(column), {"sample_size": "count(x)", "distinct_count": "count(DISTINCT octet_length(x))"} | text_sql("x"))
 
 
 def char_classes(df: DataFrame, column: str) -> DataFrame:
     """Shares of digits, letters, blanks, marks and others among all characters; zeros without characters."""
-    total = F.sum(F.char_length(column))
     names = ("digit", "alpha", "blank", "mark", "other")
-    return df.agg(*(F.when(total > 0, F.sum(k) / total).otherwise(0.0).alias(name) for name, k in zip(names, X.class_counts(F.col(column)))))
+    return _aggregated(df, F.col(column), {name: f"if(sum(char_length(x)) > 0, sum({k}) / sum(char_length(x)), 0D)" for name, k in zip(names, X.class_sql("x"))})
 
 
 def char_entropy(df: DataFrame, column: str) -> DataFrame:
@@ -228,15 +246,8 @@ def binary_profile(df: DataFrame, column: str) -> DataFrame:
 
 def date_alignment(df: DataFrame, column: str) -> DataFrame:
     """all_timestamp_date32: every value is a midnight."""
-    return df.agg(midnight_column(dict(df.dtypes)[column], column))
-
-
-def midnight_column(kind: str, column: str) -> Column:
-    c = F.col(column)
-    return X.all_true(c == F.date_trunc("day", c).cast(kind)).alias("all_timestamp_date32")
+    return df.agg(midnight_of(dict(df.dtypes)[column], F.col(column)))
 
 
-def is_monotonic(df: DataFrame, column: str, strict_reference: bool = True) -> bool:
-    """By default values are put in order first, so the answer depends on the type and the number of rows alone."""
-    kind = dict(df.dtypes)[column]
-    return kind.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "timestamp", "decimal", "date")) and len(df.select(column).take(2)) == 2
+def midnight_of(kind: str, c: Column) -> Column:
+    return X.all_true(c == c.cast("date").cast(kind)).alias("all_timestamp_date32")
