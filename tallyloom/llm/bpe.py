@@ -1,8 +1,9 @@
 """Byte-pair merging over ragged numpy arrays, in step for many sequences at once.
 
 All pre-tokens of a batch lie in one flat array of symbols. In each round every sequence
-applies its own lowest-rank adjacent pair (the leftmost of equals), so after as many rounds
-as the longest chain of merges all sequences are done. A sequence leaves the arrays when
+applies its own lowest-rank adjacent pair, at all places where it doesn't overlap itself, from the left. That is
+what merging one by one gives as long as every pair that the new symbol can be part of ranks later; where a file
+has it otherwise, the leftmost place alone is merged. So a run of n equal bytes takes about log n rounds. A sequence leaves the arrays when
 no pair of its symbols can merge.
 """
 
@@ -16,9 +17,8 @@ import numpy as np
 from . import blocks
 
 NONE = np.int32(2**31 - 1)
-#: Longer pre-tokens would need as many rounds as bytes; the library encodes them one by one.
-LONG = 256
-CHUNK = 1 << 16
+#: Pre-tokens that are merged together, and about how many bytes.
+CHUNK, CHUNK_BYTES = 1 << 16, 1 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -34,8 +34,6 @@ class RankMerger:
     """Merges of a `tokenizers` BPE file."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -49,10 +47,13 @@ class RankMerger:
         names = byte_symbols()
         self.first = np.array([vocab[x] for x in names], np.int32)
         self.last = np.array([vocab[x + self.suffix] for x in names], np.int32)
-        self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.library = Tokenizer.from_file(path)
-        # the pairs of single bytes are looked up in a table
-        self.wide = 1 << 20
+        #: Strings that are taken out of a text before anything else, and their ids.
+        self.added = {t["content"].encode(): t["id"] for t in spec.get("added_tokens", [])}
+        earliest = np.full(1 << 20, NONE)
+        np.minimum.at(earliest, self.keys >> 20, self.ranks)
+        np.minimum.at(earliest, self.keys & (1 << 20) - 1, self.ranks)
+        #: Of each merge: whether all pairs with what it makes come later.
+        self.at_once = earliest[self.merged] > np.arange(len(self.merged))
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) << 20 | b
@@ -65,16 +66,15 @@ class RankMerger:
         n = len(offsets) - 1
         pieces, owners, lengths = [], [], []
         sizes = np.diff(offsets)
-        order = np.argsort(np.minimum(sizes, LONG + 1), kind="stable")  # chunks of like lengths finish together
+        order = np.argsort(sizes, kind="stable")  # chunks of like lengths finish together
         order = order[sizes[order] > 0]
-        far = int(np.searchsorted(sizes[order] > LONG, True))
-        for i in order[far:]:
-            ids = self._by_library(data[offsets[i] : offsets[i + 1]].tobytes())
-            pieces.append(np.array(ids, np.int32))
-            owners.append(np.array([i]))
-            lengths.append(np.array([len(ids)]))
-        for k in range(0, far, CHUNK):
-            self._merge(data, offsets, order[k : min(k + CHUNK, far)], pieces, owners, lengths)
+        filled = np.cumsum(sizes[order])
+        k = 0
+        while k < len(order):
+            before = filled[k - 1] if k else 0
+            stop = min(k + CHUNK, max(k + 1, int(np.searchsorted(filled, before + CHUNK_BYTES, "right"))))
+            self._merge(data, offsets, order[k:stop], pieces, owners, lengths)
+            k = stop
         out = np.zeros(n + 1, np.int64)
         if not pieces:
             return np.zeros(0, np.int32), out
@@ -88,9 +88,6 @@ class RankMerger:
         np.cumsum(counts, out=out[1:])
         return values, out
 
-    def _by_library(self, raw: bytes) -> list[int]:
-        return self.library.encode(raw.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
-
     def _merge(self, data, offsets, chosen, pieces, owners, lengths) -> None:
         raw, starts = blocks.ragged(data, offsets, chosen)
         sym = self.first[raw]
@@ -115,21 +112,27 @@ class RankMerger:
                 starts = np.cumsum(size) - size
             hits = np.flatnonzero(rank == np.repeat(low, size))
             seq = np.searchsorted(starts, hits, "right") - 1
-            leftmost = np.ones(len(hits), bool)
-            leftmost[1:] = seq[1:] != seq[:-1]
-            hits = hits[leftmost]  # one for each sequence, in their order
-            sym[hits] = self.merged[low]
+            fresh = np.ones(len(hits), bool)
+            fresh[1:] = seq[1:] != seq[:-1]
+            # of places that overlap, every other one from the left; where order matters, the first of the sequence alone
+            run = fresh.copy()
+            run[1:] |= np.diff(hits) > 1
+            begin = np.flatnonzero(run)
+            even = (np.arange(len(hits)) - np.repeat(begin, np.diff(np.append(begin, len(hits))))) % 2 == 0
+            taken = even & (fresh | self.at_once[low[seq]])
+            hits, seq = hits[taken], seq[taken]
+            sym[hits] = self.merged[low[seq]]
             keep = np.ones(len(sym), bool)
             keep[hits + 1] = False
             sym, rank = sym[keep], rank[keep]
             at = hits - np.arange(len(hits))
-            size = size - 1
+            size = size - np.bincount(seq, minlength=len(size))
             starts = np.cumsum(size) - size
-            closing = at == starts + size - 1
-            rank[at[closing]] = NONE
-            inner = at[~closing]
+            first, last = starts[seq], starts[seq] + size[seq] - 1
+            rank[at[at == last]] = NONE
+            inner = at[at < last]
             rank[inner] = self.rank(sym[inner], sym[inner + 1])
-            after = at[at > starts]
+            after = at[at > first]
             rank[after - 1] = self.rank(sym[after - 1], sym[after])
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from . import blocks, bpe
 from .common import id_text
-from .tokens import with_added
+from .tokens import cut_out
 
 #: Context sizes; a sequence has one of these lengths, and so needs no padding.
 TIERS = (2048, 1024, 512, 256)
@@ -26,23 +26,24 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def text_ids(texts: blocks.Texts, merge: bpe.RankMerger, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts with end_id after each, ragged."""
-    words = blocks.word_level_tokens(blocks.normalised(texts))
+    pieces, first, special = cut_out(texts, merge.added)
+    words = blocks.word_level_tokens(blocks.normalised(pieces))
     codes, distinct = words.encode()
     offsets, data = blocks.parts(distinct)
     values, ends = merge(data, offsets)
     flat, at = blocks.ragged(values, ends, codes)
-    docs = at[words.docs]
+    at = at[words.docs]  # where each piece begins
+    if (special >= 0).any():  # of an added token's string there is its id alone
+        kept = np.repeat(special < 0, np.diff(at))
+        sizes = np.where(special < 0, np.diff(at), 1)
+        whole = np.append(0, np.cumsum(sizes))
+        out = np.empty(int(whole[-1]), flat.dtype)
+        inside = np.repeat(special < 0, sizes)
+        out[inside], out[~inside] = flat[kept], special[special >= 0]
+        flat, at = out, whole
+    docs = at[first]
     out = np.insert(flat, docs[1:], end_id).astype("<u4")
-    docs = docs + np.arange(len(docs))
-    special = with_added(texts, merge.added)
-    if special:  # the library takes an added token's string out of a text before anything else
-        rows = [out[docs[i] : docs[i + 1]] for i in range(len(texts))]
-        for i in special:
-            ids = merge.library.encode(texts.text(i).decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
-            rows[i] = np.array([*ids, end_id], "<u4")
-        out = np.concatenate(rows)
-        docs = np.append(0, np.cumsum([len(r) for r in rows]))
-    return out, docs
+    return out, docs + np.arange(len(docs))
 
 
 class Packer:

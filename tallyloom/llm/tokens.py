@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from functools import lru_cache
 from typing import Iterator
 
@@ -29,37 +30,55 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
     """Tokens of each whole text by rank-synchronous merging, without a shuffle.
 
     Each block's pre-tokens are found by array operations; its distinct ones are merged in
-    step (`bpe.RankMerger`), and a text's count is the sum over its pre-tokens. A text that
-    holds the string of an added token is counted by the library, which treats it as one.
+    step (`bpe.RankMerger`), and a text's count is the sum over its pre-tokens. Strings of added tokens are cut out of
+    the texts first, and count 1 each.
     Null and empty texts have 0 tokens; repeated rows and null ids stay as they are.
     """
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         merge = bpe.merger(tokenizer_path)
         texts = blocks.texts_of(batch.column(1))
-        words = blocks.byte_level_tokens(texts)
+        pieces, first, special = cut_out(texts, merge.added)
+        words = blocks.byte_level_tokens(pieces)
         codes, distinct = words.encode()
         offsets, data = blocks.parts(distinct)
         _, ends = merge(data, offsets)
-        total = blocks.row_sums(np.diff(ends)[codes], words.docs).astype(np.int64)
-        for i in with_added(texts, merge.added):
-            total[i] = len(merge.library.encode(texts.text(i).decode("utf-8", "surrogatepass"), add_special_tokens=False).ids)
+        each = blocks.row_sums(np.diff(ends)[codes], words.docs).astype(np.int64)
+        each[special >= 0] = 1
+        total = blocks.row_sums(each, first).astype(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(texts.offsets)), pa.array(total), pa.array(total > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return id_text(docs).mapInArrow(per_block(count), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
-def with_added(texts: blocks.Texts, added: list[str]) -> list[int]:
-    """Texts that hold one of these strings."""
-    whole, found = texts.data.tobytes(), set()
-    for s in map(str.encode, added):
-        at = whole.find(s)
-        while at >= 0:
-            i = int(np.searchsorted(texts.offsets, at, "right")) - 1
-            if at + len(s) <= texts.offsets[i + 1]:
-                found.add(i)
-            at = whole.find(s, at + 1)
-    return sorted(found)
+def cut_out(texts: blocks.Texts, added: dict[bytes, int]) -> tuple[blocks.Texts, np.ndarray, np.ndarray]:
+    """Texts cut before and after each of these strings: the pieces, each text's first piece (and the end), and for each piece the string's id, else -1.
+
+    Strings are found from the left, the longest of those that begin at one place; none reaches over the end of a text.
+    """
+    whole, spans, at = texts.data.tobytes(), [], 0
+    pattern = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+    while pattern is not None and (m := pattern.search(whole, at)):
+        end = int(texts.offsets[np.searchsorted(texts.offsets, m.start(), "right")])
+        if m.end() <= end:
+            spans.append((m.start(), m.end(), added[m.group()]))
+            at = m.end()
+        else:
+            at = m.start() + 1
+    if not spans:
+        return texts, np.arange(len(texts) + 1), np.full(len(texts), -1)
+    starts, ends, ids = (np.array(x, np.int64) for x in zip(*spans))
+    doc = np.searchsorted(texts.offsets, starts, "right") - 1
+    # a text with k strings has 2 k + 1 pieces
+    pieces = 1 + 2 * np.bincount(doc, minlength=len(texts))
+    first = np.append(0, np.cumsum(pieces))
+    turn = np.arange(len(spans)) - np.searchsorted(doc, doc)
+    offsets = np.empty(first[-1] + 1, np.int64)
+    offsets[first[:-1]], offsets[-1] = texts.offsets[:-1], texts.offsets[-1]
+    offsets[first[doc] + 2 * turn + 1], offsets[first[doc] + 2 * turn + 2] = starts, ends
+    special = np.full(int(first[-1]), -1)
+    special[first[doc] + 2 * turn + 1] = ids
+    return blocks.Texts(texts.data, offsets), first, special
 
 
 # --- encoding and decoding ------------------------------------------------------------

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -37,7 +38,7 @@ def test_words_are_the_matches_of_their_pattern(batch):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_merging_in_step_gives_the_library_s_ids(name):
     rng = random.Random(5)
-    batch = ["".join(rng.choice("thandeing 'srevlo\nXé中ñ12#-") for _ in range(rng.randint(0, 300))) for _ in range(300)] + ["a" * 700, "-" * 255]
+    batch = ["".join(rng.choice("thandeing 'srevlo\nXé中ñ12#-") for _ in range(rng.randint(0, 300))) for _ in range(300)] + ["a" * 700, "-" * 255, "=" * 5001, "ab" * 3000, " " * 900 + "x", "th" * 333 + "e" * 4000]
     library, merge = Tokenizer.from_file(public_tokenizers.path(name)), bpe.merger(public_tokenizers.path(name))
     given_texts = blocks.texts_of(pa.array(batch))
     words = blocks.byte_level_tokens(given_texts) if "byte" in name else blocks.word_level_tokens(blocks.normalised(given_texts))
@@ -46,6 +47,36 @@ def test_merging_in_step_gives_the_library_s_ids(name):
         assert ids[ends[words.docs[i]] : ends[words.docs[i + 1]]].tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_strings_of_added_tokens_are_cut_out(spark):
+    """Whole, touching, repeated and broken ones, and halves in neighbouring texts."""
+    e = "<|endoftext|>"
+    batch = [e, f"a{e}b", f"{e}{e} x {e}", "<|endof", "text|>", f"<|endoftext|{e}>", f" {e} \n", "", f"<|startoftext|>é {e}Σ"]
+    docs = spark.createDataFrame(list(enumerate(batch)), "doc_id long, text string").coalesce(1)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    assert [r.n_tokens for r in tokens.count_tokens(docs, path).orderBy("doc_id").collect()] == [len(library.encode(t, add_special_tokens=False).ids) for t in batch]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    flat, at = packing.text_ids(blocks.texts_of(pa.array(batch)), bpe.merger(path), 1)
+    assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in batch]
+
+
+def test_merges_whose_order_matters(tmp_path):
+    """A file in which what a merge makes is part of an earlier one: the leftmost place alone is merged at a time."""
+    names = bpe.byte_symbols()
+    merges = ["x y", "abc d", "a b", "ab c", "b c", "a bc"]
+    vocab = {n: i for i, n in enumerate(dict.fromkeys([*names, "xy", "abcd", "ab", "abc", "bc"]))}
+    spec = {"model": {"type": "BPE", "vocab": vocab, "merges": merges}, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps({"version": "1.0", **spec}))
+    merge, library = bpe.RankMerger(str(path)), Tokenizer.from_file(str(path))
+    assert not merge.at_once.all()
+    rng = random.Random(1)
+    for t in ("abcabcd", "abcdabcd", *("".join(rng.choice("abcdxy") for _ in range(40)) for _ in range(50))):
+        ids, _ = merge(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        assert ids.tolist() == library.encode(t).ids
+
+
 def rows_of(df):
     return df.select("doc_id", "text").collect()
 
