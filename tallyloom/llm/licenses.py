@@ -20,17 +20,20 @@ TEMPLATES: dict[str, list[str]] = {
     "MIT": ["Released under the MIT License", "This project is licensed under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
     "Apache": ["Licensed under the Apache License, Version #", "Released under the Apache License, Version #", "You may obtain a copy of the License at apache.org/licenses", "This software is licensed under the Apache License Version #"],
     "GPL": ["This work is licensed under the GNU General Public License, version #", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "Licensed under the GNU General Public License version # or later", "Released under the GNU GPL version #"],
+    "AGPL": ["Licensed under the GNU Affero General Public License, version #", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "Released under the GNU AGPL version #"],
     "LGPL": ["Licensed under the GNU Lesser General Public License, version #", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"],
     "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted", "Released under the BSD #-Clause License", "Licensed under the BSD License", "Use of this source code is governed by a BSD-style license"],
     "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. #", "Licensed under the Mozilla Public License Version #"],
+    "EPL": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License v#", "Licensed under the Eclipse Public License version #"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Licensed under the ISC License"],
     "CC-BY-NC": ["Licensed under CC BY-NC #", "This work is licensed under a Creative Commons Attribution-NonCommercial # International License", "Available under CC BY-NC-SA #"],
     "CC-BY": ["Licensed under CC BY #", "This work is licensed under a Creative Commons Attribution # International License", "Text is available under the Creative Commons Attribution-ShareAlike License #", "Licensed under CC BY-SA #"],
     "CC0": ["Released under CC0 # Universal", "To the extent possible under law, the author has waived all copyright and related rights to this work", "Dedicated to the public domain under CC0 #"],
     "Proprietary": ["All rights reserved", "Copyright # All rights reserved", "All rights reserved. No part of this publication may be reproduced without prior written permission", "Proprietary and confidential; unauthorized copying is strictly prohibited"],
 }
 FAMILIES = [UNKNOWN, *TEMPLATES]
-#: At most so many documents give paragraphs of the unknown class: those with the smallest hashes of their ids.
-SAMPLE = 1_000
+#: At most so many documents give paragraphs of the unknown class, those with the smallest hashes of their ids; and at most so many paragraphs with a word of the vocabulary, those with the smallest hashes.
+SAMPLE, PARAGRAPHS = 1_000, 20_000
 #: A paragraph is of a family at this calibrated probability, if its words also cover this share of one of its templates' word pairs.
 SURE, COVERED = 0.5, 0.6
 HASHES = 1 << 14
@@ -165,8 +168,11 @@ def paragraphs(texts: blocks.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return number[codes], line, doc[fresh], words
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
-    """Trains on the templates and on the paragraphs of at most `sample` documents."""
+def fit(docs: DataFrame, sample: int = SAMPLE, most: int = PARAGRAPHS) -> Classifier:
+    """Trains on the templates and on at most `most` paragraphs of at most `sample` documents. Both bound the fit alone: `scan` reads every paragraph of every text.
+
+    Null ids aren't in the sample; null and empty texts give no paragraph. An empty table leaves the templates.
+    """
     source = id_text(docs)
     ids = [r.doc_id for r in source.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
 
@@ -178,7 +184,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64()))], ["ids"])
 
     few = source.where(F.col("doc_id").isin(ids)) if ids else source.limit(0)
-    found = few.mapInArrow(per_block(numbers), "ids array<long>").orderBy(F.xxhash64("ids"), "ids").limit(20 * sample).collect()
+    found = few.mapInArrow(per_block(numbers), "ids array<long>").orderBy(F.xxhash64("ids"), "ids").limit(most).collect()
     return train([list(r.ids) for r in found])
 
 

@@ -1,9 +1,10 @@
 """SimHash near-duplicates through pivot distance tables (7).
 
 A fingerprint is 64 bits; two link when at most 4 bits differ. Only distinct fingerprints
-are compared. They meet in buckets: the 64 bits fall into six groups, four differing bits
-leave two of the groups untouched, so each linked pair shares the bits of one of the 15
-pairs of groups. Within a bucket the distances of each fingerprint to the reference fingerprints are
+are compared. They meet in buckets: the 64 bits fall into m groups, four differing bits
+leave m - 4 of the groups untouched, so each linked pair shares the bits of one of the
+choices of m - 4 groups. There are six groups, and more of them the more fingerprints there are: keys
+get wider (21, 27, 32 and 35 bits at least), so that unlike fingerprints seldom meet, at any size. Within a bucket the distances of each fingerprint to the reference fingerprints are
 tabulated. By the triangle inequality a pair is at least as far apart as its largest
 coordinate difference, so pairs that differ by more than 4 in a coordinate are discarded;
 the rest are compared bit by bit.
@@ -27,8 +28,8 @@ from .common import appended, columns_of, discard, fresh, id_text, per_block, wr
 SHINGLE = 4
 SEED = 42
 BITS = 4
-#: Bit groups: (shift, width).
-GROUPS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Up to so many fingerprints, the bits are cut into so many groups; every choice finds every link.
+SCHEMES = ((1 << 24, 6), (1 << 30, 7), (1 << 35, 8), (1 << 62, 9))
 #: Buckets up to this size are paired directly; larger ones are thinned first.
 SMALL = 48
 #: A larger bucket is split once more, by other bit groups.
@@ -92,16 +93,37 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 # --- links -----------------------------------------------------------------------------
 
 
-def bucket_keys(fp: Column) -> Column:
-    """The 15 keys of a fingerprint: which pair of bit groups, and their bits."""
-    part = [F.shiftrightunsigned(fp, s).bitwiseAND((1 << w) - 1) for s, w in GROUPS]
-    return F.array(*(F.lit(k << 22).bitwiseOR(F.shiftleft(part[i], 11)).bitwiseOR(part[j]) for k, (i, j) in enumerate(combinations(range(6), 2))))
+def bit_groups(m: int) -> list[tuple[int, int]]:
+    """m groups of the 64 bits, as even as can be: shift and width."""
+    edges = [64 * k // m for k in range(m + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+
+
+def key_choices(m: int) -> list[list[tuple[int, int]]]:
+    """Which groups make the bits of each key."""
+    return [list(c) for c in combinations(bit_groups(m), m - BITS)]
+
+
+def groups_for(n: int) -> int:
+    return next(m for most, m in SCHEMES if n <= most)
+
+
+def bucket_keys(fp: Column, m: int = 6) -> Column:
+    """The keys of a fingerprint: which groups, and their bits."""
+    keys = []
+    for k, chosen in enumerate(key_choices(m)):
+        key = F.lit(0).cast("long")
+        for shift, width in chosen:
+            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(fp, shift).bitwiseAND((1 << width) - 1))
+        keys.append(key.bitwiseOR(F.lit(k << 48)))
+    return F.array(*keys)
 
 
 def _keys(fp: np.ndarray, k: int) -> np.ndarray:
-    i, j = list(combinations(range(6), 2))[k]
-    part = [(fp >> np.uint64(s)) & np.uint64((1 << w) - 1) for s, w in (GROUPS[i], GROUPS[j])]
-    return part[0] << np.uint64(11) | part[1]
+    key = np.zeros(len(fp), np.uint64)
+    for shift, width in key_choices(6)[k]:
+        key = key << np.uint64(width) | (fp >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+    return key
 
 
 def table(fp: np.ndarray) -> np.ndarray:
@@ -240,7 +262,7 @@ def link_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(distinct: DataFrame) -> DataFrame:
     """Links (u, v), u > v, among distinct fingerprints; enough of them to connect all that link."""
-    keyed = distinct.select(F.explode(bucket_keys(F.col("fp"))).alias("key"), "fp")
+    keyed = distinct.select(F.explode(bucket_keys(F.col("fp"), groups_for(distinct.count()))).alias("key"), "fp")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(link_rows, "u long, v long").distinct()
 
 

@@ -2,7 +2,7 @@ import re
 
 from tallyloom.llm import licenses
 
-LINES = {"GPL": "under the GNU General Public License, version", "CC-BY-NC": "under CC BY-NC", "MIT": "under the MIT License", "Apache": "under the Apache License, Version"}
+LINES = {"GPL": "under the GNU General Public License, version", "CC-BY-NC": "under CC BY-NC", "MIT": "under the MIT License", "Apache": "under the Apache License, Version", "Proprietary": "All rights reserved"}
 
 
 def test_given_documents(spark):
@@ -28,6 +28,8 @@ def test_notices_and_lookalikes(spark, empty):
         (4, "We released the album under the old oak, in version two of the public park.", ""),
         (5, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.\nCopyright 2020 All rights reserved.", "MPL,Proprietary"),
         (6, None, ""),
+        (61, "Licensed under the GNU Affero General Public License, version 3", "AGPL"),
+        (62, "Intro.\nLicensed under the ISC License.\n", "ISC"),
         (7, "", ""),
         (None, "\n \n", ""),
         (8, "Somewhere inside a longer line this work is licensed under the GNU General Public License, version 3 and goes on", "GPL"),

@@ -68,8 +68,9 @@ def families(rng, n):
     return np.array(sorted(set(out)), np.uint64)
 
 
-@pytest.mark.parametrize("small, large", [(48, 4096), (3, 4096), (3, 10)])
-def test_links_and_components(spark, monkeypatch, small, large):
+@pytest.mark.parametrize("small, large, m", [(48, 4096, 6), (3, 4096, 7), (3, 10, 6), (48, 4096, 8), (48, 4096, 9)])
+def test_links_and_components(spark, monkeypatch, small, large, m):
+    monkeypatch.setattr(simhash, "SCHEMES", ((1 << 62, m),))
     monkeypatch.setattr(simhash, "SMALL", small)
     monkeypatch.setattr(simhash, "LARGE", large)
     monkeypatch.setattr(simhash, "PAIRS", 50)

@@ -1,4 +1,10 @@
+import math
+import unicodedata
+from collections import Counter
+
 import numpy as np
+import pytest
+import regex
 
 from tallyloom.llm import toxicity
 
@@ -34,6 +40,26 @@ def test_held_out_documents(spark):
         assert abs(r.expected_severity - (r.p_mild + r.p_marked + r.p_severe)) < 1e-5 and (r.grade > 0) == r.toxic
 
 
+def test_scores_by_brute_force(spark, awkward, sf):
+    """Scores, probabilities and grades of whole texts, word by word."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    for frame in (docs, awkward):
+        texts = sorted((str(r.doc_id), r.text or "") for r in frame.collect())
+        got = sorted((str(r.doc_id), r) for r in toxicity.grade_documents(frame, model).collect())
+        want = []
+        for i, t in texts:
+            words = pattern.findall("".join(c if c == "Σ" else c.lower() for c in unicodedata.normalize("NFC", t)).replace("Σ", "σ"))
+            score = sum(min(n, 3) * sum(model.weights[f] for f in toxicity.token_features(w.encode())) for w, n in Counter(words).items())
+            p = [1 / (1 + math.exp(-max(-40, min(40, score - theta)))) for theta in model.thetas]
+            toxic = p[0] >= model.cut
+            want.append((i, len(words), max(1, sum(x >= 0.5 for x in p)) if toxic else 0, score, sum(p)))
+        found = sorted((i, r.n_words, r.grade, r.score, r.expected_severity) for i, r in got)
+        for a, b in zip(sorted(want), found, strict=True):
+            assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], abs=1e-5)
+
+
 def test_edges(spark, awkward, empty, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     model = toxicity.fit(docs, labels)
