@@ -201,6 +201,7 @@ def word_level_tokens(texts: Texts) -> Words:
     cut = docs[:-1][docs[:-1] < docs[1:]]
     starts[cut] = solid[cut]
     _contractions(points, starts, docs)
+    starts &= solid  # white space after a contraction begins nothing
     lengths = np.diff(at)
     inside = np.repeat(solid, lengths)
     where = np.flatnonzero(starts)
