@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import columns_of
@@ -33,6 +33,9 @@ FEATURES = {
 #: Always 0, which the optimizer can't know: a filter on a column that holds it stays above the
 #: projection. Pushed below, it would put the array expressions into the lambdas that read them, once per element.
 BARRIER = "if(monotonically_increasing_id() < 0, 1L, 0L)"
+#: Texts of more than LONG bytes aren't held as arrays of words in one row: they are looked at in pieces of PIECE bytes.
+LONG, PIECE = 4 << 20, 1 << 20
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks")
 
 
 def statistics(docs: DataFrame, *keep: str) -> DataFrame:
@@ -41,9 +44,15 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     Repeated three-word windows are found by sorting each text's own window hashes
     (64 bits) with their places: neighbours of equal hash repeat, and the words
     that the repeated windows cover are counted from the gaps between their places. So a
-    text costs n log n, and nothing is shuffled.
+    text costs n log n, and nothing is shuffled. The few texts of more than LONG bytes, whose
+    words would fill an executor's memory, are counted by `in_pieces` instead.
     """
     base = docs.select("doc_id", *keep, F.expr("coalesce(cast(text AS string), '')").alias("t"))
+    return in_rows(base.where(f"octet_length(t) <= {LONG}"), *keep).unionAll(in_pieces(base.where(f"octet_length(t) > {LONG}"), *keep))
+
+
+def in_rows(base: DataFrame, *keep: str) -> DataFrame:
+    """Statistics of texts t, each in its row."""
     split = base.select("doc_id", *keep, "t", F.expr(r"array_remove(split(t, '[\\x20\\x09-\\x0D]+'), '')").alias("w"), F.expr(rf"filter(split(t, '\n'), x -> x RLIKE '{WORD}')").alias("lines"))
     hashed = split.select(
         "doc_id",
@@ -62,6 +71,38 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     return placed.select("doc_id", *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", (covered + F.expr(BARRIER)).alias("n_repeat_words"), "n_lines", "n_capitals", "n_marks")
 
 
+def between(texts: DataFrame, ends: str) -> DataFrame:
+    """digest, p and x: the texts' bytes (as Latin-1) in pieces p. A run of bytes outside the class `ends` is whole, in the piece where it begins."""
+    bytes_ = lambda at, n: f"decode(substring(b, {at}, {n}), 'ISO-8859-1')"
+    own, after = bytes_(f"p * {PIECE} + 1", PIECE), bytes_(f"(p + 1) * {PIECE} + 1", PIECE)
+    goes_on = f"p > 0 AND NOT {bytes_(f'p * {PIECE}', 1)} RLIKE '[{ends}]'"  # the piece begins inside a run
+    head = lambda x: f"regexp_extract({x}, '^[^{ends}]*', 0)"
+    rest = f"CASE WHEN {bytes_(f'(p + 1) * {PIECE}', 1)} RLIKE '[{ends}]' THEN '' WHEN {after} RLIKE '[{ends}]' THEN {head(after)} ELSE {head(bytes_(f'(p + 1) * {PIECE} + 1', 'octet_length(b)'))} END"
+    x = f"CASE WHEN {goes_on} THEN CASE WHEN {own} RLIKE '[{ends}]' THEN concat(regexp_replace({own}, '^[^{ends}]*', ''), {rest}) ELSE '' END ELSE concat({own}, {rest}) END"
+    pieces = F.expr(f"transform(sequence(0L, cast((octet_length(b) - 1) div {PIECE} AS long)), p -> struct(p, {x} AS x))")
+    return texts.select("digest", F.col("t").cast("binary").alias("b")).select("digest", F.explode(pieces).alias("s")).select("digest", "s.p", "s.x")
+
+
+def in_pieces(base: DataFrame, *keep: str) -> DataFrame:
+    """The same statistics of long texts t: a text's words and lines are rows, told apart by its digest, so a sort may go to disk."""
+    white = r"\\x20\\x09-\\x0D"
+    removed = lambda those: F.expr(f"cast(char_length(t) - char_length(regexp_replace(t, '{those}', '')) AS long)")
+    rows = base.withColumn("digest", F.sha2("t", 256))
+    texts = rows.groupBy("digest").agg(F.min("t").alias("t"))
+    words = between(texts, white).select("digest", "p", F.posexplode(F.expr(f"array_remove(split(x, '[{white}]+'), '')")).alias("i", "w"))
+    order = Window.partitionBy("digest").orderBy("p", "i")
+    windows = words.select("digest", F.row_number().over(order).alias("at"), F.xxhash64("w", F.lead("w", 1).over(order), F.lead("w", 2).over(order)).alias("h"), F.lead("w", 2).over(order).isNotNull().alias("whole"))
+    often = windows.withColumn("n", F.count("*").over(Window.partitionBy("digest", "whole", "h")))
+    places = often.where("whole AND n > 1").withColumn("last", F.lag("at").over(Window.partitionBy("digest").orderBy("at")))
+    covered = places.groupBy("digest").agg(F.sum(F.expr("least(3, coalesce(at - last, 3))")).alias("n_repeat_words"))
+    counted = words.groupBy("digest").agg(F.count("*").alias("n_words"))
+    lines = between(texts, r"\\n").select("digest", F.explode(F.expr(rf"filter(split(x, '\n'), y -> y RLIKE '{WORD}')")).alias("line")).groupBy("digest", F.sha2("line", 256).alias("line")).agg(F.count("*").alias("n"))
+    repeated = lines.groupBy("digest").agg(F.sum("n").alias("n_lines"), F.sum(F.col("n") - 1).alias("n_dup_lines"))
+    known = counted.join(covered, "digest", "left").join(repeated, "digest", "left")
+    scalars = rows.select("doc_id", *keep, "digest", F.expr(f"cast(char_length(regexp_replace(t, '[{white}]+', '')) AS long)").alias("word_chars"), removed("[#*$%&|<>]").alias("n_symbols"), removed(r"\\p{Lu}").alias("n_capitals"), removed("[!?]").alias("n_marks"))
+    return scalars.join(known, "digest", "left").select("doc_id", *keep, *(F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in COUNTS))
+
+
 def base_failed() -> Column:
     return F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
 

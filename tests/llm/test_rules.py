@@ -1,4 +1,5 @@
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -27,6 +28,18 @@ def test_statistics(spark, awkward, empty, sf):
     assert rules.statistics(empty).collect() == []
 
 
+def test_long_texts_in_pieces(spark, awkward, sf, monkeypatch):
+    # a text of tens of millions of words doesn't fit an executor as an array of words
+    monkeypatch.setattr(rules, "LONG", 40)
+    whole = spark.read.parquet(f"{sf}/documents.parquet").limit(25).select("doc_id", "text").unionByName(awkward.where("doc_id < 100 OR doc_id IS NULL").select("doc_id", "text"))
+    odd = spark.createDataFrame([(-1, "é中 ñ\x85Σ " * 40 + "\n\n \n"), (-2, "\n" * 300), (-3, "ab\ncd " * 60), (-4, " " * 50 + "w" * 300), (-5, "a b c\r\n" * 9 + "É!?" * 30)], "doc_id long, text string")
+    docs = whole.unionByName(odd).unionByName(odd)
+    want = sorted(((i, *brute(t), sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (t or "").split("\n")), sum(unicodedata.category(c) == "Lu" for c in t or ""), sum(c in "!?" for c in t or "")) for i, t in docs.collect()), key=key)
+    for piece in (7, 64):
+        monkeypatch.setattr(rules, "PIECE", piece)
+        assert sorted((tuple(r) for r in rules.statistics(docs).collect()), key=key) == want
+
+
 def test_statistics_can_be_filtered(spark, awkward):
     # a filter that is pushed into the projection would take hours on the long text
     assert rules.statistics(awkward).where("n_repeat_words > 5").count() > 0
