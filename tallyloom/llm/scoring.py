@@ -10,6 +10,7 @@ its score is the log10 probability of the ids and the end.
 
 from __future__ import annotations
 
+import math
 import zlib
 from typing import Iterator
 
@@ -37,9 +38,18 @@ LOG10 = np.log(10.0)
 # --- the model -------------------------------------------------------------------------
 
 SHAPES = {"E": (CLASSES, DIM), "P": (CONTEXT, DIM), "QKV": (DIM, 3 * DIM), "O": (DIM, DIM), "W1": (DIM, HIDDEN), "b1": (HIDDEN,), "W2": (HIDDEN, DIM), "U": (DIM, CLASSES), "b": (CLASSES,)}
-MASK = np.triu(np.full((CONTEXT, CONTEXT), -1e9, np.float32), 1)
 SCALE = np.float32(DIM**-0.5)
 TOP = np.float32(80)
+#: The largest exponents of attention: none to later positions.
+CAP = np.where(np.triu(np.ones((CONTEXT, CONTEXT), bool), 1), np.float32(-1e9), TOP)
+#: Queries that look back are taken so many at a time, against no more keys than they may see.
+SPAN = 32
+
+
+def bounded(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no row of h @ weights + bias can come near TOP in size, so that its exponentials need no care."""
+    long = lambda x, axis: math.sqrt(float(np.einsum("ij,ij->j" if axis else "ij,ij->i", x, x).max(initial=0)))
+    return long(h, 0) * long(weights, 1) + float(np.abs(bias).max(initial=0)) < 0.9 * float(TOP)
 
 
 class Model(dict):
@@ -106,20 +116,26 @@ class Model(dict):
         else:
             z = (h0.reshape(-1, DIM) @ self["QKV"]).reshape(n, CONTEXT, 3 * DIM)
             q, k, v = z[:, :, :DIM], z[:, :, DIM : 2 * DIM], z[:, :, 2 * DIM :]
-        a = q @ k.transpose(0, 2, 1)
-        a *= SCALE
-        np.minimum(a, TOP, out=a)
-        a += MASK[start:]
-        np.exp(a, out=a)
-        a /= a.sum(axis=-1, keepdims=True) + np.float32(1e-30)
-        o = (a @ v).reshape(-1, DIM)
+        scaled, o, parts = q * SCALE, np.empty_like(q), []
+        for first in range(start, CONTEXT, SPAN):
+            last = min(first + SPAN, CONTEXT)
+            a = scaled[:, first - start : last - start] @ k[:, :last].transpose(0, 2, 1)
+            np.minimum(a, CAP[first:last, :last], out=a)
+            np.exp(a, out=a)
+            total = a.sum(axis=-1, keepdims=True) + np.float32(1e-30)
+            if keep is not None:
+                a /= total
+                parts.append((first, last, a))
+            part = a @ v[:, :last]
+            o[:, first - start : last - start] = part if keep is not None else part / total
+        o = o.reshape(-1, DIM)
         h1 = h0.reshape(-1, DIM) + o @ self["O"]
         m = h1 @ self["W1"]
         m += self["b1"]
         np.maximum(m, 0, out=m)
         h2 = h1 + m @ self["W2"]
         if keep is not None:
-            keep |= {"h0": h0, "q": q, "k": k, "v": v, "a": a, "o": o, "h1": h1, "m": m, "h2": h2}
+            keep |= {"h0": h0, "q": q, "k": k, "v": v, "parts": parts, "o": o, "h1": h1, "m": m, "h2": h2}
         return h2
 
     def within(self, h: np.ndarray, y: np.ndarray, cuts: np.ndarray, back: dict | None = None, scale: float = 1.0) -> np.ndarray:
@@ -128,6 +144,10 @@ class Model(dict):
         row = y - (SINGLES + 1)
         places = np.argsort(row, kind="stable")
         edges = np.searchsorted(row[places], cuts)
+        shared = places[edges[0] :]
+        if not len(shared):
+            return out
+        small = bounded(h[shared], self["V"], self["c"])
         for a, b, first, last in zip(edges[:-1], edges[1:], cuts[:-1], cuts[1:]):
             if a == b:
                 continue
@@ -135,26 +155,28 @@ class Model(dict):
             own, mine = h[at], row[at] - first
             z = own @ self["V"][first:last].T
             z += self["c"][first:last]
-            z -= z.max(axis=1, keepdims=True)
+            if not small:
+                z -= z.max(axis=1, keepdims=True)
             rows = np.arange(b - a)
             picked = z[rows, mine]
             np.exp(z, out=z)
-            total = z.sum(axis=1, keepdims=True)
-            out[at] = picked - np.log(total[:, 0])
+            total = z.sum(axis=1)
+            out[at] = picked - np.log(total)
             if back is not None:
-                z /= total
-                z[rows, mine] -= 1
-                z *= np.float32(scale)
-                back["V"][first:last] = z.T @ own
-                back["c"][first:last] = z.sum(axis=0)
-                back["h"][at] += z @ self["V"][first:last]
+                # z is left as it is; the rows' factors go with the narrow sides
+                z[rows, mine] -= total
+                factor = (scale / total).astype(z.dtype)
+                back["V"][first:last] = z.T @ (own * factor[:, None])
+                back["c"][first:last] = factor @ z
+                back["h"][at] += (z @ self["V"][first:last]) * factor[:, None]
         return out
 
     def log_p(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of the probability of class y at each row."""
         z = h @ self["U"]
         z += self["b"]
-        np.minimum(z, TOP, out=z)
+        if not bounded(h, self["U"], self["b"]):
+            np.minimum(z, TOP, out=z)
         own = z[np.arange(len(y)), y]
         np.exp(z, out=z)
         return own - np.log(z.sum(axis=1) + np.float32(1e-30))
@@ -167,16 +189,16 @@ class Model(dict):
         n = max(1, int(real.sum()))
         z = h2 @ self["U"]
         z += self["b"]
-        np.minimum(z, TOP, out=z)
+        if not bounded(h2, self["U"], self["b"]):
+            np.minimum(z, TOP, out=z)
         np.exp(z, out=z)
         rows, target, flat = np.arange(len(z)), classes_of(y.ravel(), cuts), real.ravel()
-        size = z.sum(axis=1)
+        size = z.sum(axis=1) + np.float32(1e-30)
         loss = -float(np.log(np.maximum(z[rows, target] / size, 1e-30))[flat].sum()) / n
         weight = (flat / (size * n)).astype(z.dtype)
-        z *= weight[:, None]
-        z[rows, target] -= (flat / n).astype(z.dtype)
-        g = {"U": h2.T @ z, "b": z.sum(axis=0)}
-        dh2 = z @ self["U"].T
+        z[rows, target] -= size
+        g = {"U": (h2 * weight[:, None]).T @ z, "b": weight @ z}
+        dh2 = (z @ self["U"].T) * weight[:, None]
         if cuts is not None:
             at = np.flatnonzero(flat & (target > SINGLES))
             g |= {"V": np.zeros_like(self["V"]), "c": np.zeros_like(self["c"])}
@@ -189,12 +211,17 @@ class Model(dict):
         dh1 = dh2 + dm @ self["W1"].T
         g["O"] = s["o"].T @ dh1
         do = (dh1 @ self["O"].T).reshape(s["h0"].shape)
-        da = do @ s["v"].transpose(0, 2, 1)
-        ds = da
-        ds -= np.einsum("nij,nij->ni", da, s["a"])[:, :, None]
-        ds *= s["a"]
-        ds *= SCALE
-        dz = np.concatenate([ds @ s["k"], ds.transpose(0, 2, 1) @ s["q"], s["a"].transpose(0, 2, 1) @ do], axis=-1).reshape(-1, 3 * DIM)
+        # the mean of da under a row of a is do times what the row gave
+        mean = np.einsum("nid,nid->ni", do, s["o"].reshape(do.shape))[:, :, None]
+        q, k, v, dz = s["q"] * SCALE, s["k"], s["v"], np.zeros((*do.shape[:2], 3 * DIM), do.dtype)
+        for first, last, a in s["parts"]:
+            ds = do[:, first:last] @ v[:, :last].transpose(0, 2, 1)
+            ds -= mean[:, first:last]
+            ds *= a
+            dz[:, first:last, :DIM] = (ds @ k[:, :last]) * SCALE
+            dz[:, :last, DIM : 2 * DIM] += ds.transpose(0, 2, 1) @ q[:, first:last]
+            dz[:, :last, 2 * DIM :] += a.transpose(0, 2, 1) @ do[:, first:last]
+        dz = dz.reshape(-1, 3 * DIM)
         h0 = s["h0"].reshape(-1, DIM)
         g["QKV"] = h0.T @ dz
         dh0 = dh1 + dz @ self["QKV"].T
@@ -268,10 +295,21 @@ def train_local(model: Model, seq: np.ndarray, ends: np.ndarray, rate: float, se
         _, g = model.gradient(x[at], y[at], real[at], cuts)
         m["step"] = m.get("step", 0) + 1
         for name, d in g.items():
-            a, b = m.setdefault(name, [np.zeros_like(d), np.zeros_like(d)])
-            a += 0.1 * (d - a)
-            b += 0.01 * (d * d - b)
-            model[name] -= (rate * (a / (1 - 0.9 ** m["step"])) / (np.sqrt(b / (1 - 0.99 ** m["step"])) + 1e-8)).astype(np.float32)
+            if name not in m:
+                m[name] = np.zeros_like(d), np.zeros_like(d), np.empty_like(d)
+            a, b, t = m[name]
+            a *= 0.9
+            a += np.multiply(d, 0.1, out=t)
+            b *= 0.99
+            np.multiply(d, d, out=t)
+            t *= 0.01
+            b += t
+            np.sqrt(b, out=t)
+            t *= (1 - 0.99 ** m["step"]) ** -0.5
+            t += 1e-8
+            np.divide(a, t, out=t)
+            t *= rate / (1 - 0.9 ** m["step"])
+            model[name] -= t
     return model
 
 

@@ -175,3 +175,26 @@ def test_score_beats_word_counts_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     r = scoring.score_documents(docs, *ARGS).where("held_out").selectExpr("sum(score) AS a", "sum(base_score) AS b").first()
     assert r.a > r.b
+
+
+def test_later_positions_cost_no_exponentials(monkeypatch):
+    done = []
+    exp = np.exp
+    monkeypatch.setattr(scoring.np, "exp", lambda x, **more: (done.append(x.size), exp(x, **more))[1])
+    for start in (0, scoring.CONTEXT - scoring.STRIDE):
+        done.clear()
+        model().body(np.zeros((2, scoring.CONTEXT), int), start=start)
+        # half of what a full square of positions would take, and a half span
+        assert sum(done) <= 2 * (scoring.CONTEXT - start) * (scoring.CONTEXT + start + scoring.SPAN) / 2
+
+
+def test_large_weights_stay_finite():
+    ids, m = symbols()
+    for k in ("U", "V", "QKV"):
+        m[k] = m[k] * 300
+    x = ids.symbols[np.random.default_rng(5).integers(0, 500, (2, scoring.CONTEXT))]
+    h = m.body(x, None, m.inputs(ids.cuts))
+    assert not scoring.bounded(h, m["U"], m["b"]) and not scoring.bounded(h, m["V"], m["c"])
+    loss, g = m.gradient(x, x, np.ones(x.shape, bool), ids.cuts)
+    assert math.isfinite(loss) and all(np.isfinite(d).all() for d in g.values())
+    assert np.isfinite(m.log_p(h, scoring.classes_of(x.ravel(), ids.cuts))).all() and (m.within(h, x.ravel(), ids.cuts) <= 1e-9).all()
