@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from functools import lru_cache
 from typing import Iterator
 
 import numpy as np
@@ -40,8 +41,8 @@ LOG10 = np.log(10.0)
 SHAPES = {"E": (CLASSES, DIM), "P": (CONTEXT, DIM), "QKV": (DIM, 3 * DIM), "O": (DIM, DIM), "W1": (DIM, HIDDEN), "b1": (HIDDEN,), "W2": (HIDDEN, DIM), "U": (DIM, CLASSES), "b": (CLASSES,)}
 SCALE = np.float32(DIM**-0.5)
 TOP = np.float32(80)
-#: The largest exponents of attention: none to later positions.
-CAP = np.where(np.triu(np.ones((CONTEXT, CONTEXT), bool), 1), np.float32(-1e9), TOP)
+#: The largest exponents of attention, so that sums of them times values stay finite: none to later positions.
+CAP = np.where(np.triu(np.ones((CONTEXT, CONTEXT), bool), 1), np.float32(-1e9), np.float32(64))
 #: Queries that look back are taken so many at a time, against no more keys than they may see.
 SPAN = 32
 
@@ -52,6 +53,19 @@ def bounded(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> bool:
     return long(h, 0) * long(weights, 1) + float(np.abs(bias).max(initial=0)) < 0.9 * float(TOP)
 
 
+def with_ones(h: np.ndarray) -> np.ndarray:
+    """h and a column of ones, for products that add a bias or a sum as they go."""
+    out = np.empty((len(h), h.shape[1] + 1), h.dtype)
+    out[:, :-1] = h
+    out[:, -1] = 1
+    return out
+
+
+def order_of(y: np.ndarray) -> np.ndarray:
+    """The stable order of numbers from 0 on; that of narrow numbers takes no comparisons."""
+    return np.argsort(y.astype(np.uint16) if not len(y) or y.max() < 1 << 16 else y, kind="stable")
+
+
 class Model(dict):
     """Weights by name. One layer: attention to earlier positions, then two dense ones, both added to what came in."""
 
@@ -76,7 +90,9 @@ class Model(dict):
         """The vector of each class; with cuts, of each symbol: the single classes, then those of shared classes in order."""
         if cuts is None:
             return self["E"]
-        return np.concatenate([self["E"][: SINGLES + 1], np.repeat(self["E"][SINGLES + 1 :], np.diff(cuts), axis=0) + self["D"]])
+        out = self["E"].take(kinds(cuts), axis=0)
+        out[SINGLES + 1 :] += self["D"]
+        return out
 
     def start_from_pairs(self, pairs: np.ndarray, share: np.ndarray, doubt: float = 20.0) -> "Model":
         """Sets the way from an input straight to the prediction to the best approximation of rank DIM of log p(next | class) - log p(next)."""
@@ -108,139 +124,175 @@ class Model(dict):
     def body(self, x: np.ndarray, keep: dict | None = None, table: np.ndarray | None = None, start: int = 0) -> np.ndarray:
         """What the predictions are made from, for each place of the windows from start on. table: the inputs' vectors."""
         n, own = x.shape[0], CONTEXT - start
-        h0 = (self["E"] if table is None else table)[x] + self["P"]
+        h0 = (self["E"] if table is None else table).take(x, axis=0)
+        h0 += self["P"]
+        weights = self["QKV"].copy()
+        weights[:, :DIM] *= SCALE
+        # keys, values and a one beside each value: what a row of exponentials gives has their sum at its end
         if start:
-            z = (h0.reshape(-1, DIM) @ self["QKV"][:, DIM:]).reshape(n, CONTEXT, 2 * DIM)
-            k, v, h0 = z[:, :, :DIM], z[:, :, DIM:], h0[:, start:]
-            q = (h0.reshape(-1, DIM) @ self["QKV"][:, :DIM]).reshape(n, own, DIM)
+            z = np.empty((n, CONTEXT, 2 * DIM + 1), h0.dtype)
+            np.matmul(h0.reshape(-1, DIM), weights[:, DIM:], out=z.reshape(-1, 2 * DIM + 1)[:, :-1])
+            h0 = np.ascontiguousarray(h0[:, start:])
+            q = (h0.reshape(-1, DIM) @ weights[:, :DIM]).reshape(n, own, DIM)
         else:
-            z = (h0.reshape(-1, DIM) @ self["QKV"]).reshape(n, CONTEXT, 3 * DIM)
-            q, k, v = z[:, :, :DIM], z[:, :, DIM : 2 * DIM], z[:, :, 2 * DIM :]
-        scaled, o, parts = q * SCALE, np.empty_like(q), []
+            z = np.empty((n, CONTEXT, 3 * DIM + 1), h0.dtype)
+            np.matmul(h0.reshape(-1, DIM), weights, out=z.reshape(-1, 3 * DIM + 1)[:, :-1])
+            q = z[:, :, :DIM]
+        z[:, :, -1] = 1
+        k, v, o, parts = z[:, :, -2 * DIM - 1 : -DIM - 1], z[:, :, -DIM - 1 :], np.empty((n, own, DIM + 1), h0.dtype), []
         for first in range(start, CONTEXT, SPAN):
             last = min(first + SPAN, CONTEXT)
-            a = scaled[:, first - start : last - start] @ k[:, :last].transpose(0, 2, 1)
+            a = q[:, first - start : last - start] @ k[:, :last].transpose(0, 2, 1)
             np.minimum(a, CAP[first:last, :last], out=a)
             np.exp(a, out=a)
-            total = a.sum(axis=-1, keepdims=True) + np.float32(1e-30)
+            np.matmul(a, v[:, :last], out=o[:, first - start : last - start])
             if keep is not None:
-                a /= total
                 parts.append((first, last, a))
-            part = a @ v[:, :last]
-            o[:, first - start : last - start] = part if keep is not None else part / total
-        o = o.reshape(-1, DIM)
-        h1 = h0.reshape(-1, DIM) + o @ self["O"]
+        o = o.reshape(-1, DIM + 1)
+        share = 1 / (o[:, DIM:] + np.float32(1e-30))
+        o = o[:, :DIM] * share
+        h1 = o @ self["O"]
+        h1 += h0.reshape(-1, DIM)
         m = h1 @ self["W1"]
         m += self["b1"]
         np.maximum(m, 0, out=m)
-        h2 = h1 + m @ self["W2"]
+        h2 = m @ self["W2"]
+        h2 += h1
         if keep is not None:
-            keep |= {"h0": h0, "q": q, "k": k, "v": v, "parts": parts, "o": o, "h1": h1, "m": m, "h2": h2}
+            keep |= {"h0": h0, "q": q, "k": k, "v": v, "parts": parts, "o": o, "share": share, "h1": h1, "m": m, "weights": weights}
         return h2
 
     def within(self, h: np.ndarray, y: np.ndarray, cuts: np.ndarray, back: dict | None = None, scale: float = 1.0) -> np.ndarray:
         """Natural log of the probability of symbol y within its class at each row; 0 for a single class. back: takes the gradients of V and c and adds that of h."""
         out = np.zeros(len(y), h.dtype)
-        row = y - (SINGLES + 1)
-        places = np.argsort(row, kind="stable")
-        edges = np.searchsorted(row[places], cuts)
-        shared = places[edges[0] :]
-        if not len(shared):
+        places = np.flatnonzero(y > SINGLES)
+        if not len(places):
             return out
-        small = bounded(h[shared], self["V"], self["c"])
-        for a, b, first, last in zip(edges[:-1], edges[1:], cuts[:-1], cuts[1:]):
-            if a == b:
-                continue
-            at = places[a:b]
-            own, mine = h[at], row[at] - first
-            z = own @ self["V"][first:last].T
-            z += self["c"][first:last]
-            if not small:
-                z -= z.max(axis=1, keepdims=True)
-            rows = np.arange(b - a)
-            picked = z[rows, mine]
-            np.exp(z, out=z)
-            total = z.sum(axis=1)
-            out[at] = picked - np.log(total)
-            if back is not None:
-                # z is left as it is; the rows' factors go with the narrow sides
-                z[rows, mine] -= total
-                factor = (scale / total).astype(z.dtype)
-                back["V"][first:last] = z.T @ (own * factor[:, None])
-                back["c"][first:last] = factor @ z
-                back["h"][at] += (z @ self["V"][first:last]) * factor[:, None]
+        row = y[places] - (SINGLES + 1)
+        order = order_of(row)
+        places, row = places[order], row[order]
+        own, both, summed = with_ones(h.take(places, axis=0)), np.concatenate([self["V"], self["c"][:, None]], axis=1), with_ones(self["V"])
+        edges = np.searchsorted(row, cuts).tolist()
+        spans = [(a, b, first, last) for a, b, first, last in zip(edges, edges[1:], cuts[:-1].tolist(), cuts[1:].tolist()) if a < b]
+        own_z, less = np.einsum("ij,ij->i", own, both.take(row, axis=0)), np.zeros(len(row), h.dtype)
+        given, g = np.empty_like(own), None if back is None else np.zeros_like(both)
+        for careful in (False, True):
+            # rows whose sums leave the range of the numbers are rare: all is done again, less the largest of each row
+            with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                for a, b, first, last in spans:
+                    z = own[a:b] @ both[first:last].T
+                    if careful:
+                        less[a:b] = z.max(axis=1)
+                        z -= less[a:b, None]
+                    np.exp(z, out=z)
+                    if g is None:
+                        np.matmul(z, summed[first:last, DIM], out=given[a:b, DIM])
+                    else:
+                        np.matmul(z, summed[first:last], out=given[a:b])
+                        np.matmul(z.T, own[a:b] / given[a:b, DIM:], out=g[first:last])
+            total = given[:, DIM]
+            if total.min() > 1e-20 and total.max() < 1e30:
+                break
+        out[places] = own_z - less - np.log(total)
+        if g is not None:
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            g[row[first]] -= np.add.reduceat(own, first, axis=0)
+            g *= scale
+            back["V"][:], back["c"][:] = g[:, :DIM], g[:, DIM]
+            back["h"][places] += (given[:, :DIM] / total[:, None] - self["V"].take(row, axis=0)) * h.dtype.type(scale)
         return out
 
-    def log_p(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of class y at each row."""
-        z = h @ self["U"]
-        z += self["b"]
+    def class_exponentials(self, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The exponentials of the rows' logits, their sums, where those of y are in the flat array, and the logits of y."""
+        z = with_ones(h) @ np.concatenate([self["U"], self["b"][None, :]])
         if not bounded(h, self["U"], self["b"]):
             np.minimum(z, TOP, out=z)
-        own = z[np.arange(len(y)), y]
+        at = np.arange(0, z.size, CLASSES) + y
+        own = z.reshape(-1).take(at)
         np.exp(z, out=z)
-        return own - np.log(z.sum(axis=1) + np.float32(1e-30))
+        return z, z @ np.ones(CLASSES, z.dtype) + np.float32(1e-30), at, own
+
+    def log_p(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of class y at each row."""
+        _, size, _, own = self.class_exponentials(h, y)
+        return own - np.log(size)
 
     def gradient(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, cuts: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over the real targets, and its gradient. x and y are classes; with cuts, symbols."""
         s: dict = {}
         table = self.inputs(cuts)
         h2 = self.body(x, s, table)
-        n = max(1, int(real.sum()))
-        z = h2 @ self["U"]
-        z += self["b"]
-        if not bounded(h2, self["U"], self["b"]):
-            np.minimum(z, TOP, out=z)
-        np.exp(z, out=z)
-        rows, target, flat = np.arange(len(z)), classes_of(y.ravel(), cuts), real.ravel()
-        size = z.sum(axis=1) + np.float32(1e-30)
-        loss = -float(np.log(np.maximum(z[rows, target] / size, 1e-30))[flat].sum()) / n
+        n, flat = max(1, int(real.sum())), real.ravel()
+        target = classes_of(y.ravel(), cuts)
+        z, size, own, own_z = self.class_exponentials(h2, target)
+        loss = -float(np.maximum(own_z - np.log(size), np.log(1e-30))[flat].sum()) / n
         weight = (flat / (size * n)).astype(z.dtype)
-        z[rows, target] -= size
+        z.reshape(-1)[own] -= size
         g = {"U": (h2 * weight[:, None]).T @ z, "b": weight @ z}
-        dh2 = (z @ self["U"].T) * weight[:, None]
+        dh2 = z @ self["U"].T
+        dh2 *= weight[:, None]
         if cuts is not None:
             at = np.flatnonzero(flat & (target > SINGLES))
             g |= {"V": np.zeros_like(self["V"]), "c": np.zeros_like(self["c"])}
             more = g | {"h": np.zeros((len(at), DIM), dh2.dtype)}
-            loss -= float(self.within(h2[at], y.ravel()[at], cuts, more, 1 / n).sum()) / n
+            loss -= float(self.within(h2.take(at, axis=0), y.ravel()[at], cuts, more, 1 / n).sum()) / n
             dh2[at] += more["h"]
         g["W2"] = s["m"].T @ dh2
-        dm = (dh2 @ self["W2"].T) * (s["m"] > 0)
-        g["W1"], g["b1"] = s["h1"].T @ dm, dm.sum(axis=0)
-        dh1 = dh2 + dm @ self["W1"].T
+        dm = dh2 @ self["W2"].T
+        dm *= s["m"] > 0
+        g["W1"], g["b1"] = s["h1"].T @ dm, np.ones(len(dm), dm.dtype) @ dm
+        dh1 = dm @ self["W1"].T
+        dh1 += dh2
         g["O"] = s["o"].T @ dh1
-        do = (dh1 @ self["O"].T).reshape(s["h0"].shape)
-        # the mean of da under a row of a is do times what the row gave
-        mean = np.einsum("nid,nid->ni", do, s["o"].reshape(do.shape))[:, :, None]
-        q, k, v, dz = s["q"] * SCALE, s["k"], s["v"], np.zeros((*do.shape[:2], 3 * DIM), do.dtype)
-        for first, last, a in s["parts"]:
+        # under a row of exponentials, da is do times the values less do times what the row gave, and all over their sum
+        do = np.empty((len(dh1), DIM + 1), dh1.dtype)
+        np.multiply(dh1 @ self["O"].T, s["share"], out=do[:, :DIM])
+        do[:, DIM] = -np.einsum("ij,ij->i", do[:, :DIM], s["o"])
+        shape = (*x.shape, DIM)
+        do, q, k, v, dz = do.reshape(*x.shape, DIM + 1), s["q"], s["k"], s["v"], np.empty((*x.shape, 3 * DIM), dh1.dtype)
+        for first, last, a in reversed(s["parts"]):
             ds = do[:, first:last] @ v[:, :last].transpose(0, 2, 1)
-            ds -= mean[:, first:last]
             ds *= a
-            dz[:, first:last, :DIM] = (ds @ k[:, :last]) * SCALE
-            dz[:, :last, DIM : 2 * DIM] += ds.transpose(0, 2, 1) @ q[:, first:last]
-            dz[:, :last, 2 * DIM :] += a.transpose(0, 2, 1) @ do[:, first:last]
+            np.matmul(ds, k[:, :last], out=dz[:, first:last, :DIM])
+            if last == CONTEXT:
+                np.matmul(ds.transpose(0, 2, 1), q[:, first:last], out=dz[:, :, DIM : 2 * DIM])
+                np.matmul(a.transpose(0, 2, 1), do[:, first:last, :DIM], out=dz[:, :, 2 * DIM :])
+            else:
+                dz[:, :last, DIM : 2 * DIM] += ds.transpose(0, 2, 1) @ q[:, first:last]
+                dz[:, :last, 2 * DIM :] += a.transpose(0, 2, 1) @ do[:, first:last, :DIM]
         dz = dz.reshape(-1, 3 * DIM)
-        h0 = s["h0"].reshape(-1, DIM)
-        g["QKV"] = h0.T @ dz
-        dh0 = dh1 + dz @ self["QKV"].T
-        g["P"] = dh0.reshape(s["h0"].shape).sum(axis=0)
-        order = np.argsort(x.ravel(), kind="stable")
-        used, first = np.unique(x.ravel()[order], return_index=True)
+        g["QKV"] = s["h0"].reshape(-1, DIM).T @ dz
+        g["QKV"][:, :DIM] *= SCALE
+        dh0 = dz @ s["weights"].T
+        dh0 += dh1
+        g["P"] = dh0.reshape(shape).sum(axis=0)
+        order = order_of(x.ravel())
+        used = x.ravel()[order]
+        first = np.flatnonzero(np.append(True, used[1:] != used[:-1]))
         given = np.zeros_like(table)
-        given[used] = np.add.reduceat(dh0[order], first, axis=0)
+        given[used[first]] = np.add.reduceat(dh0.take(order, axis=0), first, axis=0)
         g["E"] = given
         if cuts is not None:
             g["D"] = given[SINGLES + 1 :]
-            sums = np.append(np.zeros((1, DIM)), np.cumsum(g["D"], axis=0, dtype=np.float64), axis=0)
-            g["E"] = np.concatenate([given[: SINGLES + 1], np.diff(sums[cuts], axis=0).astype(given.dtype)])
+            g["E"] = np.concatenate([given[: SINGLES + 1], np.add.reduceat(g["D"], cuts[:-1], axis=0)])
         return loss, g
 
 
+@lru_cache(maxsize=4)
+def kinds_of(raw: bytes) -> np.ndarray:
+    out = np.append(np.arange(SINGLES + 1), np.repeat(np.arange(SINGLES + 1, CLASSES), np.diff(np.frombuffer(raw, np.int64))))
+    out.flags.writeable = False
+    return out
+
+
+def kinds(cuts: np.ndarray) -> np.ndarray:
+    """The class of each symbol; cuts: where those of each shared class, none of which is empty, begin and end."""
+    return kinds_of(cuts.astype(np.int64).tobytes())
+
+
 def classes_of(y: np.ndarray, cuts: np.ndarray | None) -> np.ndarray:
-    """The classes of symbols; cuts: where those of each shared class begin and end."""
-    return y if cuts is None else np.where(y <= SINGLES, y, SINGLES + np.searchsorted(cuts, y - (SINGLES + 1), "right"))
+    """The classes of symbols."""
+    return y if cuts is None else kinds(cuts).take(y)
 
 
 def windows(seq: np.ndarray, ends: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -268,19 +320,21 @@ def sequence_log_p(model: Model, seq: np.ndarray, ends: np.ndarray, chunk: int =
         stop = max(first + 1, int(np.searchsorted(ends, ends[first] + (1 << 19), "right")) - 1)
         x, y, real, text = windows(seq, ends[first : stop + 1])
         later = np.append(False, text[1:] == text[:-1])
+        each: list[tuple] = []
         # of a later window, the first places are only looked back at
         for which, start in ((np.flatnonzero(~later), 0), (np.flatnonzero(later), CONTEXT - STRIDE)):
             for k in range(0, len(which), chunk):
                 at = which[k : k + chunk]
-                r = real[at, start:]
-                h = model.body(x[at], None, table, start)[r.ravel()]
-                target = y[at, start:][r]
-                lp = model.log_p(h, classes_of(target, cuts))
-                if cuts is not None:
-                    shared = np.flatnonzero(target > SINGLES)
-                    lp[shared] += model.within(h[shared], target[shared], cuts)
-                per = np.append(0, np.cumsum(r.sum(axis=1)))
-                out[first:stop] += np.bincount(text[at], blocks.row_sums(lp, per), minlength=stop - first)
+                r, target = real[at, start:].ravel(), y[at, start:].ravel()
+                h = model.body(x[at], None, table, start)
+                lp, own = model.log_p(h, classes_of(target, cuts)), text[at].repeat(CONTEXT - start)
+                shared = np.flatnonzero(r & (target > SINGLES)) if cuts is not None else np.zeros(0, np.int64)
+                out[first:stop] += np.bincount(own, np.where(r, lp, 0), minlength=stop - first)
+                each.append((h.take(shared, axis=0), target[shared], own[shared]))
+        # the classes' own ids, for the windows of all chunks together
+        h, target, own = (np.concatenate(c) for c in zip(*each))
+        if len(target):
+            out[first:stop] += np.bincount(own, model.within(h, target, cuts), minlength=stop - first)
         first = stop
     return out
 
@@ -290,26 +344,31 @@ def train_local(model: Model, seq: np.ndarray, ends: np.ndarray, rate: float, se
     x, y, real, _ = windows(seq, ends, CONTEXT)
     order = np.random.default_rng(seed).permutation(len(x))
     m = moments if moments is not None else {}
+    # all weights lie in one vector, so that a step is a few passes over it
+    names, ends = list(model), np.cumsum([w.size for w in model.values()])
+    flat = np.concatenate([w.ravel() for w in model.values()])
+    for name, w, part in zip(names, list(model.values()), np.split(flat, ends[:-1])):
+        model[name] = part.reshape(w.shape)
+    if "sums" not in m:
+        m["sums"] = np.zeros_like(flat), np.zeros_like(flat)
+    (a, b), d, t = m["sums"], np.empty_like(flat), np.empty_like(flat)
     for k in range(0, len(order), BATCH):
         at = order[k : k + BATCH]
         _, g = model.gradient(x[at], y[at], real[at], cuts)
+        np.concatenate([g[name].ravel() for name in names], out=d)
         m["step"] = m.get("step", 0) + 1
-        for name, d in g.items():
-            if name not in m:
-                m[name] = np.zeros_like(d), np.zeros_like(d), np.empty_like(d)
-            a, b, t = m[name]
-            a *= 0.9
-            a += np.multiply(d, 0.1, out=t)
-            b *= 0.99
-            np.multiply(d, d, out=t)
-            t *= 0.01
-            b += t
-            np.sqrt(b, out=t)
-            t *= (1 - 0.99 ** m["step"]) ** -0.5
-            t += 1e-8
-            np.divide(a, t, out=t)
-            t *= rate / (1 - 0.9 ** m["step"])
-            model[name] -= t
+        # a and b are the usual moments times 10 and 100
+        a *= 0.9
+        a += d
+        d *= d
+        b *= 0.99
+        b += d
+        np.sqrt(b, out=t)
+        root = math.sqrt(1 - 0.99 ** m["step"])
+        t += 1e-7 * root
+        np.divide(a, t, out=t)
+        t *= rate * root / (1 - 0.9 ** m["step"])
+        flat -= t
     return model
 
 

@@ -198,3 +198,47 @@ def test_large_weights_stay_finite():
     loss, g = m.gradient(x, x, np.ones(x.shape, bool), ids.cuts)
     assert math.isfinite(loss) and all(np.isfinite(d).all() for d in g.values())
     assert np.isfinite(m.log_p(h, scoring.classes_of(x.ravel(), ids.cuts))).all() and (m.within(h, x.ravel(), ids.cuts) <= 1e-9).all()
+
+
+def test_ids_within_classes_are_scored_for_all_chunks_together(monkeypatch):
+    ids, m = symbols()
+    rng = np.random.default_rng(6)
+    texts = [np.concatenate([[0], ids.symbols[rng.integers(0, 500, n)], [0]]) for n in (5, 64, 200, 700)]
+    args = m, np.concatenate(texts), np.append(0, np.cumsum([len(t) for t in texts]))
+    want = scoring.sequence_log_p(*args, chunk=1000, cuts=ids.cuts)
+    done = []
+    within = scoring.Model.within
+    monkeypatch.setattr(scoring.Model, "within", lambda *a, **more: (done.append(len(a[2])), within(*a, **more))[1])
+    assert scoring.sequence_log_p(*args, chunk=2, cuts=ids.cuts) == pytest.approx(want)
+    assert len(done) == 1
+
+
+def test_ids_within_classes_whose_exponentials_leave_the_range():
+    ids, m = symbols()
+    m = scoring.Model({k: v.astype(np.float32) for k, v in m.items()})
+    m["V"] *= 400
+    h = np.random.default_rng(7).normal(size=(500, scoring.DIM)).astype(np.float32)
+    got = m.within(h, ids.symbols, ids.cuts)
+    for i in range(500):
+        y = int(ids.symbols[i]) - scoring.SINGLES - 1
+        if y >= 0:
+            c = np.searchsorted(ids.cuts, y, "right") - 1
+            z = m["V"][ids.cuts[c] : ids.cuts[c + 1]].astype(float) @ h[i] + m["c"][ids.cuts[c] : ids.cuts[c + 1]]
+            assert got[i] == pytest.approx(z[y - ids.cuts[c]] - np.logaddexp.reduce(z), rel=1e-4, abs=2e-3)
+        else:
+            assert got[i] == 0
+
+
+def test_a_step_goes_over_one_vector_of_weights():
+    ids, m = symbols()
+    m = scoring.Model({k: v.astype(np.float32) for k, v in m.items()})
+    before = {k: v.copy() for k, v in m.items()}
+    seq = np.concatenate([[0], ids.symbols[np.random.default_rng(8).integers(0, 500, 300)], [0]])
+    got = scoring.train_local(m, seq, np.array([0, len(seq)]), 0.01, 1, {}, ids.cuts)
+    assert len({id(v if v.base is None else v.base) for v in got.values()}) == 1
+    # Adam's first step moves a weight by the rate, against its gradient's sign
+    x, y, real, _ = scoring.windows(seq, np.array([0, len(seq)]), scoring.CONTEXT)
+    _, g = scoring.Model(before).gradient(x, y, real, ids.cuts)
+    for k, d in g.items():
+        clear = np.abs(d) > 1e-5
+        assert (got[k] - before[k])[clear] == pytest.approx(-0.01 * np.sign(d[clear]), abs=2e-4), k
