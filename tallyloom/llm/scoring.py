@@ -1,7 +1,7 @@
 """Scores of texts by a causal self-attention model over subword ids (10).
 
-Words are told apart and counted by the same shuffle of distinct words as in `tokens`: each word's
-training count and subword ids come back to the blocks of texts that hold it. The model
+Words are told apart by blocks of texts, once, and each block's distinct words go in buckets of words of like hashes:
+a row is a block's share of a bucket. Each word's training count and subword ids come back to the blocks that hold it. The model
 reads subword ids; it predicts classes of them (the most frequent ids are classes by themselves, the others share
 some by their neighbours) and then the id within its class, both from the context. Ids that no
 training text holds are one symbol a class, and share its probability equally. A text is a start, its ids, and an end;
@@ -17,7 +17,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, tokens
@@ -459,50 +459,95 @@ def _words(texts: blocks.Texts) -> blocks.Words:
     return blocks.words(texts, lowered=True)
 
 
+#: Of a word's bytes so many choose its bucket, each with a factor of its own.
+HASHED = 64
+FACTORS = np.random.default_rng(42).integers(0, 1 << 63, HASHED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def buckets_of(data: np.ndarray, ends: np.ndarray, many: int) -> np.ndarray:
+    """The bucket of each word, by its bytes alone. Word i is data[ends[i]:ends[i+1]], and isn't empty."""
+    if len(ends) < 2:
+        return np.zeros(0, np.int64)
+    size = np.minimum(np.diff(ends), HASHED)
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    h = np.add.reduceat((data[place + np.repeat(ends[:-1], size)] + np.uint64(1)) * FACTORS[place], first)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(32)) % np.uint64(many)).astype(np.int64)
+
+
+def in_buckets(many: int):
+    """For mapInArrow over rows (block, words, word_ends, n): for each bucket of a block, its words and their sizes, slots and counts."""
+
+    def binary(values: np.ndarray, at: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, raw, ends, n in zip(*(c.to_pylist() for c in batch.columns)):
+                data, ends, n = np.frombuffer(raw, np.uint8), np.frombuffer(ends, "<i8"), np.frombuffer(n, "<i8")
+                if not len(n):
+                    continue
+                bucket = buckets_of(data, ends, many)
+                slots = order_of(bucket)
+                at, data = blocks.parts(pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(data)]).take(pa.array(slots)))
+                bucket = bucket[slots]
+                edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+                columns = [pa.array(bucket[edges[:-1]]), pa.array(np.full(len(edges) - 1, block)), binary(data, at[edges])]
+                columns += [binary(x, edges) for x in (np.diff(at).astype("<i4"), slots.astype("<i4"), n[slots])]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "words", "sizes", "slots", "n"])
+
+    return run
+
+
 def encode_counted(path: str, pattern: str):
-    """For mapInArrow over rows (word, block, slot, n, c, lead) in order of words: answers by block with ids and
+    """For mapInArrow over rows (bucket, block, words, sizes, slots, n) in order of buckets: answers by block with ids and
     counts, and rows without a block: how often each id occurs in training texts, training tokens, and distinct ones."""
 
-    def answer(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held).combine_chunks()
-        encoding, _ = tokens.rank_encoding(path, pattern)
-        coded = rows["word"].chunk(0).dictionary_encode()
+    def answer(held: list[tuple]) -> pa.RecordBatch:
+        encoding, table = tokens.rank_encoding(path, pattern)
+        slot, n = (np.frombuffer(b"".join(r[k] for r in held), kind) for k, kind in ((3, "<i4"), (4, "<i8")))
+        block = np.repeat([r[0] for r in held], [len(r[3]) // 4 for r in held])
+        at = np.append(0, np.cumsum(np.frombuffer(b"".join(r[2] for r in held), "<i4"), dtype=np.int64))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(slot), [None, pa.py_buffer(at), pa.py_buffer(b"".join(r[1] for r in held))]).dictionary_encode()
         ids = [encoding.encode_ordinary(" " + w.decode("utf-8", "surrogatepass")) for w in coded.dictionary.to_pylist()]
         sizes = np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
         offsets = np.append(0, np.cumsum(sizes)).astype(np.int64)
         code = coded.indices.to_numpy(zero_copy_only=False)
-        n, c, lead = rows["n"].to_numpy(), rows["c"].to_numpy(), rows["lead"].to_numpy(zero_copy_only=False)
-        weight = np.bincount(np.arange(len(flat)), minlength=len(flat)) * np.repeat(np.bincount(code, n, minlength=len(ids)), sizes)
-        used, inverse = np.unique(flat, return_inverse=True)
-        used_n = np.bincount(inverse, weight, minlength=len(used)).astype(np.int64)
-        order = np.argsort(rows["block"].to_numpy(), kind="stable")
-        block, slot = rows["block"].to_numpy()[order], rows["slot"].to_numpy()[order].astype("<i4")
-        values, ends = blocks.ragged(flat, offsets, code[order])
+        c = np.bincount(code, n, minlength=len(ids)).astype(np.int64)
+        used_n = np.bincount(flat, np.repeat(c, sizes), minlength=len(table)).astype(np.int64)
+        used = np.flatnonzero(used_n)
+        order = np.argsort(block, kind="stable")
+        block, slot, code = block[order], slot[order], code[order]
+        values, ends = blocks.ragged(flat, offsets, code)
         cuts = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
-        spans = list(zip(cuts[:-1], cuts[1:]))
+        spans, each = list(zip(cuts[:-1], cuts[1:])), c[code]
         long = pa.list_(pa.int64())
         columns = [
             pa.array([*block[cuts[:-1]].tolist(), None], pa.int64()),
             pa.array([*(slot[a:b].tobytes() for a, b in spans), None], pa.binary()),
             pa.array([*(np.diff(ends[a : b + 1]).astype("<i4").tobytes() for a, b in spans), None], pa.binary()),
             pa.array([*(values[ends[a] : ends[b]].astype("<u4").tobytes() for a, b in spans), None], pa.binary()),
-            pa.array([*(c[order][a:b].astype("<i8").tobytes() for a, b in spans), None], pa.binary()),
+            pa.array([*(each[a:b].astype("<i8").tobytes() for a, b in spans), None], pa.binary()),
             pa.array([*(None for _ in spans), used.tolist()], long),
-            pa.array([*(None for _ in spans), used_n.tolist()], long),
+            pa.array([*(None for _ in spans), used_n[used].tolist()], long),
             pa.array([0] * len(spans) + [int(n.sum())], pa.int64()),
-            pa.array([0] * len(spans) + [int((lead & (c > 0)).sum())], pa.int64()),
+            pa.array([0] * len(spans) + [int((c > 0).sum())], pa.int64()),
         ]
         return pa.RecordBatch.from_arrays(columns, ["block", "slots", "sizes", "ids", "counts", "id", "id_n", "tokens", "kinds"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n, last = [], 0, None
         for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= tokens.ENCODE_ROWS:
-                yield answer(held)
-                held, n = [], 0
+            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                # only whole buckets are answered, so that all rows of a word are counted together
+                if n >= tokens.ENCODE_ROWS and bucket != last:
+                    yield answer(held)
+                    held, n = [], 0
+                held.append(tuple(row))
+                n, last = n + len(row[3]) // 4, bucket
         if n:
             yield answer(held)
 
@@ -610,21 +655,28 @@ def score_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
     source = id_text(docs)
 
-    def word_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def coded_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         block = tokens.Block(batch, _words)
-        rows = block.word_rows()
-        known = np.repeat(~held_out(batch.column(0)), np.diff(block.docs))
-        return rows.append_column("n", pa.array(np.bincount(block.codes[known], minlength=rows.num_rows)))
-
-    def text_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return tokens.Block(batch, _words).text_rows(batch.column(0))
-
-    words = source.mapInArrow(per_block(word_rows, tokens.DICTIONARY_BYTES), "word binary, block long, slot int, n long").withColumn("row", F.monotonically_increasing_id())
-    same = Window.partitionBy("word")
-    counted = words.repartition("word").withColumn("c", F.sum("n").over(same)).withColumn("lead", F.col("row") == F.min("row").over(same)).drop("row")
+        rows = block.text_rows(batch.column(0))
+        learned = ~held_out(batch.column(0))
+        known = np.repeat(learned, np.diff(block.docs))
+        n = np.bincount(block.codes[known], minlength=len(block.words))
+        ends, data = blocks.parts(block.words)
+        # a block's first row has its words and how many there are, and its training texts
+        for name, values in (("words", data), ("word_ends", ends.astype("<i8")), ("n", n.astype("<i8"))):
+            rows = rows.append_column(name, pa.array([values.tobytes(), *[None] * (rows.num_rows - 1)], pa.binary()))
+        for name, value in (("distinct", len(n)), ("texts", int(learned.sum()))):
+            rows = rows.append_column(name, pa.array([value, *[0] * (rows.num_rows - 1)], pa.int64()))
+        return rows
+
+    source_coded = written(source.mapInArrow(per_block(coded_rows, tokens.DICTIONARY_BYTES), "block long, doc_ids array<long>, sizes binary, codes binary, words binary, word_ends binary, n binary, distinct long, texts long"))
+    distinct, texts = (x or 0 for x in source_coded.agg(F.sum("distinct"), F.sum("texts")).first())
+    # a bucket has a fourth of what an encoding task holds
+    many = 1 + 4 * distinct // tokens.ENCODE_ROWS
+    words = source_coded.where("words IS NOT NULL").select("block", "words", "word_ends", "n").mapInArrow(in_buckets(many), "bucket long, block long, words binary, sizes binary, slots binary, n binary")
+    counted = words.repartition("bucket").sortWithinPartitions("bucket")
     answers = written(counted.mapInArrow(encode_counted(path, pattern), "block long, slots binary, sizes binary, ids binary, counts binary, id array<long>, id_n array<long>, tokens long, kinds long"))
 
-    texts = source.where(f"coalesce(crc32(cast(doc_id AS string)), 0) % {FOLDS} <> {HELD}").count()
     n, v = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("kinds")).first())
     n, v = n + texts, v + (texts > 0)
     counts = np.zeros(len(tokens.rank_encoding(path, pattern)[1]))
@@ -656,7 +708,7 @@ def score_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     long = pa.list_(pa.int64())
     shape = pa.schema([("doc_ids", long), ("held_out", pa.bool_()), ("sizes", long), ("sure", long), ("base", pa.list_(pa.float64())), ("draw", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("ends", pa.binary())])
-    texts_coded = source.mapInArrow(per_block(text_rows, tokens.DICTIONARY_BYTES), "block long, doc_ids array<long>, sizes binary, codes binary")
+    texts_coded = source_coded.select("block", "doc_ids", "sizes", "codes")
     per = answers.where("block IS NOT NULL").select("block", "slots", "sizes", "ids", "counts")
     # small row groups, so that a file can be read by several tasks
     coded = written(texts_coded.groupBy("block").cogroup(per.groupBy("block")).applyInArrow(put_together, "doc_ids array<long>, held_out boolean, sizes array<long>, sure array<long>, base array<double>, draw long, n long, ids binary, ends binary"), **{"parquet.block.size": str(4 << 20)})

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tallyloom.llm import scoring, tokens
@@ -242,3 +243,33 @@ def test_a_step_goes_over_one_vector_of_weights():
     for k, d in g.items():
         clear = np.abs(d) > 1e-5
         assert (got[k] - before[k])[clear] == pytest.approx(-0.01 * np.sign(d[clear]), abs=2e-4), k
+
+
+def test_each_word_of_a_block_lies_in_one_bucket():
+    words = sorted({"a", "b" * 70, "b" * 71, "é", "zwölf", *(f"w{i}" for i in range(300))})
+    data, ends = np.frombuffer("".join(words).encode(), np.uint8), np.append(0, np.cumsum([len(w.encode()) for w in words]))
+    n = np.arange(len(words))
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8]), *(pa.array([x, y], pa.binary()) for x, y in ((data.tobytes(), b""), (ends.astype("<i8").tobytes(), np.zeros(1, "<i8").tobytes()), (n.astype("<i8").tobytes(), b"")))], ["block", "words", "word_ends", "n"])
+    got, found = list(scoring.in_buckets(5)(iter([batch]))), {}
+    for bucket, block, raw, sizes, slots, counts in (r for b in got for r in zip(*(c.to_pylist() for c in b.columns))):
+        at = np.append(0, np.cumsum(np.frombuffer(sizes, "<i4")))
+        for i, (slot, c) in enumerate(zip(np.frombuffer(slots, "<i4"), np.frombuffer(counts, "<i8"))):
+            assert block == 7 and raw[at[i] : at[i + 1]].decode() == words[slot] and c == n[slot] and slot not in found
+            found[int(slot)] = bucket
+    assert len(found) == len(words) and len(set(found.values())) == 5
+    # the bucket depends on the word alone
+    alone = {w: int(scoring.buckets_of(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]), 5)[0]) for w in words}
+    assert all(alone[words[k]] == b for k, b in found.items())
+
+
+def test_input_is_read_once(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = scoring.score_documents(docs.select("doc_id", "text").mapInArrow(seen, "doc_id long, text string"), *ARGS).collect()
+    assert read.value == len(rows) == docs.count()
