@@ -61,6 +61,16 @@ def with_ones(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def in_spans(a: np.ndarray) -> np.ndarray:
+    """The rows of a in spans of CONTEXT, if that comes out even, else in one: BLAS is quicker at short narrow products than at long ones."""
+    return a.reshape(-1, CONTEXT, a.shape[1]) if len(a) and len(a) % CONTEXT == 0 else a[None]
+
+
+def gram(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b."""
+    return (in_spans(a).transpose(0, 2, 1) @ in_spans(b)).sum(axis=0)
+
+
 def order_of(y: np.ndarray) -> np.ndarray:
     """The stable order of numbers from 0 on; that of narrow numbers takes no comparisons."""
     return np.argsort(y.astype(np.uint16) if not len(y) or y.max() < 1 << 16 else y, kind="stable")
@@ -172,6 +182,7 @@ class Model(dict):
         order = order_of(row)
         places, row = places[order], row[order]
         own, both, summed = with_ones(h.take(places, axis=0)), np.concatenate([self["V"], self["c"][:, None]], axis=1), with_ones(self["V"])
+        turned = np.ascontiguousarray(both.T)
         edges = np.searchsorted(row, cuts).tolist()
         spans = [(a, b, first, last) for a, b, first, last in zip(edges, edges[1:], cuts[:-1].tolist(), cuts[1:].tolist()) if a < b]
         own_z, less = np.einsum("ij,ij->i", own, both.take(row, axis=0)), np.zeros(len(row), h.dtype)
@@ -180,7 +191,7 @@ class Model(dict):
             # rows whose sums leave the range of the numbers are rare: all is done again, less the largest of each row
             with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
                 for a, b, first, last in spans:
-                    z = own[a:b] @ both[first:last].T
+                    z = own[a:b] @ turned[:, first:last]
                     if careful:
                         less[a:b] = z.max(axis=1)
                         z -= less[a:b, None]
@@ -204,7 +215,7 @@ class Model(dict):
 
     def class_exponentials(self, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The exponentials of the rows' logits, their sums, where those of y are in the flat array, and the logits of y."""
-        z = with_ones(h) @ np.concatenate([self["U"], self["b"][None, :]])
+        z = (in_spans(with_ones(h)) @ np.concatenate([self["U"], self["b"][None, :]])).reshape(-1, CLASSES)
         if not bounded(h, self["U"], self["b"]):
             np.minimum(z, TOP, out=z)
         at = np.arange(0, z.size, CLASSES) + y
@@ -228,7 +239,7 @@ class Model(dict):
         loss = -float(np.maximum(own_z - np.log(size), np.log(1e-30))[flat].sum()) / n
         weight = (flat / (size * n)).astype(z.dtype)
         z.reshape(-1)[own] -= size
-        g = {"U": (h2 * weight[:, None]).T @ z, "b": weight @ z}
+        g = {"U": gram(h2 * weight[:, None], z), "b": weight @ z}
         dh2 = z @ self["U"].T
         dh2 *= weight[:, None]
         if cuts is not None:
@@ -237,10 +248,10 @@ class Model(dict):
             more = g | {"h": np.zeros((len(at), DIM), dh2.dtype)}
             loss -= float(self.within(h2.take(at, axis=0), y.ravel()[at], cuts, more, 1 / n).sum()) / n
             dh2[at] += more["h"]
-        g["W2"] = s["m"].T @ dh2
+        g["W2"] = gram(s["m"], dh2)
         dm = dh2 @ self["W2"].T
         dm *= s["m"] > 0
-        g["W1"], g["b1"] = s["h1"].T @ dm, np.ones(len(dm), dm.dtype) @ dm
+        g["W1"], g["b1"] = gram(s["h1"], dm), np.ones(len(dm), dm.dtype) @ dm
         dh1 = dm @ self["W1"].T
         dh1 += dh2
         g["O"] = s["o"].T @ dh1
@@ -261,7 +272,7 @@ class Model(dict):
                 dz[:, :last, DIM : 2 * DIM] += ds.transpose(0, 2, 1) @ q[:, first:last]
                 dz[:, :last, 2 * DIM :] += a.transpose(0, 2, 1) @ do[:, first:last, :DIM]
         dz = dz.reshape(-1, 3 * DIM)
-        g["QKV"] = s["h0"].reshape(-1, DIM).T @ dz
+        g["QKV"] = gram(s["h0"].reshape(-1, DIM), dz)
         g["QKV"][:, :DIM] *= SCALE
         dh0 = dz @ s["weights"].T
         dh0 += dh1
@@ -570,27 +581,34 @@ def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield tokens.unpack_codes(ids.as_py()).astype(np.int64), np.frombuffer(ends.as_py(), "<i8")
 
 
-def pair_counts(texts: DataFrame, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How often left[id] comes right before right[next id] in the pieces (ids, ends); 0 stands for a text's start and end."""
-    shape = (int(left.max()) + 1, int(right.max()) + 1)
+def pair_counts(texts: DataFrame, *sides: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """For each (left, right), how often left[id] comes right before right[next id] in the pieces (ids, ends); 0 stands for a text's start and end."""
+    shapes = [(int(left.max()) + 1, int(right.max()) + 1) for left, right in sides]
+    begins = np.append(0, np.cumsum([a * b for a, b in shapes]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape[0] * shape[1], np.int64)
+        total = np.zeros(begins[-1], np.int64)
         for batch in batches:
             for values, ends in unpacked(batch):
-                a, at = sequences(values, ends, left)
-                b, _ = sequences(values, ends, right)
-                inner = np.ones(len(a), bool)
-                inner[at[1:] - 1] = False
-                np.add.at(total, a[inner].astype(np.int64) * shape[1] + b[np.flatnonzero(inner) + 1], 1)
+                for (left, right), (_, width), begin in zip(sides, shapes, begins):
+                    a, at = sequences(values, ends, left)
+                    b = a if right is left else sequences(values, ends, right)[0]
+                    keys = a[:-1].astype(np.int64)
+                    keys *= width
+                    keys += b[1:]
+                    keys += begin
+                    # the last of a text and the first of the next are no pair
+                    inner = np.ones(len(keys), bool)
+                    inner[at[1:-1] - 1] = False
+                    np.add.at(total, keys[inner], 1)
         keys = np.flatnonzero(total)
         for k in range(0, len(keys), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 10_000]), pa.array(total[keys[k : k + 10_000]])], ["pair", "n"])
 
-    out = np.zeros(shape[0] * shape[1])
+    out = np.zeros(begins[-1])
     found = texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out[found["pair"].to_numpy()] = found["n"].to_numpy()
-    return out.reshape(shape)
+    return [out[begin : begin + a * b].reshape(a, b) for begin, (a, b) in zip(begins, shapes)]
 
 
 def train(coded: DataFrame, counts: np.ndarray, texts: int, path: str, pattern: str) -> tuple[Model, Ids]:
@@ -605,14 +623,13 @@ def train(coded: DataFrame, counts: np.ndarray, texts: int, path: str, pattern:
     table = tokens.rank_encoding(path, pattern)[1]
     begins = np.array([t.startswith(b" ") for t in table])
     every, single = np.arange(1, len(counts) + 1), Ids(counts, texts, begins).single()
-    after = pair_counts(few, every, single)
-    before = pair_counts(few, single, every)
+    after, before = pair_counts(few, (every, single), (single, every))
     near = np.zeros((len(counts), 2 * (SINGLES + 2)))
     near[: len(after) - 1, : after.shape[1]] = after[1:]
     near[: before.shape[1] - 1, SINGLES + 2 : SINGLES + 2 + len(before)] = before[:, 1:].T
     ids = Ids(counts, texts, begins, near)
     pairs = np.zeros((CLASSES, CLASSES))
-    found = pair_counts(few, ids.classes, ids.classes)
+    (found,) = pair_counts(few, (ids.classes, ids.classes))
     pairs[: found.shape[0], : found.shape[1]] = found
     model = Model.fresh(ids.share).start_from_pairs(pairs, ids.share).with_symbols(ids.symbol_share)
     for turn in range(ROUNDS):

@@ -273,3 +273,24 @@ def test_input_is_read_once(spark, sf):
 
     rows = scoring.score_documents(docs.select("doc_id", "text").mapInArrow(seen, "doc_id long, text string"), *ARGS).collect()
     assert read.value == len(rows) == docs.count()
+
+
+def test_pairs_of_several_kinds_are_counted_in_one_pass(spark):
+    texts = [[3, 1, 1], [], [2], [0, 3]]
+    ends = np.append(0, np.cumsum([len(t) for t in texts])).astype("<i8")
+    packed = bytearray(tokens.pack_codes(np.array(sum(texts, []))))
+    frame = spark.createDataFrame([(packed, bytearray(ends.tobytes()))] * 2, "ids binary, ends binary")
+    one, two = np.array([1, 2, 2, 3]), np.array([1, 1, 2, 2])
+    got = scoring.pair_counts(frame, (one, two), (two, two))
+    for found, (left, right) in zip(got, ((one, two), (two, two)), strict=True):
+        want = Counter()
+        for t in texts:
+            want.update(zip([0, *left[t]], [*right[t], 0]))
+        assert {(i, j): int(n) for (i, j), n in np.ndenumerate(found) if n} == {k: 2 * n for k, n in want.items()}
+
+
+def test_products_in_spans():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, scoring.CONTEXT, 5 * scoring.CONTEXT, 5 * scoring.CONTEXT + 1):
+        a, b = rng.normal(size=(n, 3)), rng.normal(size=(n, 4))
+        assert scoring.gram(a, b) == pytest.approx(a.T @ b)
