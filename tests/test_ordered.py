@@ -2,12 +2,13 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tallyloom.operators import fieldstats, promote
+from tallyloom.operators import align, fieldstats, promote
 
 
 def counted_reads(spark, rows, schema):
@@ -79,3 +80,23 @@ def test_bounds_by_two_levels(spark):
         bounds = [float(3 * i) for i in range(n)]
         df = spark.createDataFrame([(float(x) / 2,) for x in range(-4, 6 * n + 4)], "v double").select("v", fieldstats._below(bounds).alias("got"))
         assert all(r.got == sum(b < r.v for b in bounds) for r in df.collect())
+
+
+def test_nearest_holds_few_similarities(spark, monkeypatch):
+    """A pair of full blocks takes tens of MB, not hundreds; blocks in pairs give the same as all at once."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4096, 16)).astype(np.float32)
+    block = lambda name: pa.table({f"{name}_ids": pa.array([list(range(len(x)))]), f"{name}_flat": pa.array([x.ravel()])})
+    target = pa.schema([("query_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64())])
+    left, right = block("q"), block("i")
+    tracemalloc.start()
+    found = align._best(left, right, 2, target)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    assert found["query_id"][::2].to_pylist() == found["item_id"][::2].to_pylist() == list(range(4096))
+    monkeypatch.setattr(align, "BLOCK", 30)
+    few = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:200])], "id int, vector array<float>")
+    got = {(r.query_id, r["rank"]): r.item_id for r in align.nearest(few.where("id % 3 = 0"), few, 3).collect()}
+    unit = x[:200].astype(float) / np.linalg.norm(x[:200].astype(float), axis=1)[:, None]
+    want = np.argsort(-(unit @ unit.T), axis=1, kind="stable")[:, :3]
+    assert got == {(i, j + 1): int(want[i, j]) for i in range(0, 200, 3) for j in range(3)}
